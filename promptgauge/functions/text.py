@@ -9,7 +9,7 @@ PPM = 1_000_000
 
 def strip(col: Column) -> Column:
     """Remove all leading and trailing whitespace (``trim`` takes only spaces)."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.regexp_replace(col, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def threshold_ppm(threshold: float) -> int:
