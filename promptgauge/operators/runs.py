@@ -115,7 +115,13 @@ def in_chunks(work: DataFrame, n_chunks: int, order: list[str]) -> DataFrame:
     return placed.withColumn("chunk", (F.when(at < edge, early).otherwise(late) + 1).cast("long")).drop("before")
 
 
-def run_chunks(work: DataFrame, factory: Callable[[], Callable[[pd.DataFrame], pd.Series]], n_chunks: int, out_type: str = "array<double>") -> DataFrame:
+def run_chunks(
+    work: DataFrame,
+    factory: Callable[[], Callable[[pd.DataFrame], pd.Series]],
+    n_chunks: int,
+    order: Iterable[str] = (),
+    out_type: str = "array<double>",
+) -> DataFrame:
     """Run a caller's encoder over chunked rows: built once per task, then fed batches in order. A failure stops the job."""
 
     def encode(batches):
@@ -124,7 +130,7 @@ def run_chunks(work: DataFrame, factory: Callable[[], Callable[[pd.DataFrame], p
             yield batch.assign(output=encoder(batch))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema)
-    spread = work.repartitionByRange(n_chunks, "chunk")
+    spread = work.repartitionByRange(n_chunks, "chunk").sortWithinPartitions("chunk", *order)
     return spread.mapInPandas(encode, f"{fields}, output {out_type}")
 
 

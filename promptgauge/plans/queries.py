@@ -293,7 +293,7 @@ def _length_encoder():
 
 def chunk_run_o40(spark, sf):
     work = runs.in_chunks(t.prompts(spark, sf).select("id", "generated_prompt"), CHUNKS, ["id"])
-    done = runs.run_chunks(work, _length_encoder, CHUNKS)
+    done = runs.run_chunks(work, _length_encoder, CHUNKS, ["id"])
     return done.select("id", "chunk", F.col("output")[0].alias("characters"), F.col("output")[1].alias("es"))
 
 

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_local_dirs: dict[str, str] = {}
 
 
 def local_session(app: str = "promptgauge", cpus: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -36,9 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-    fresh = tempfile.mkdtemp(prefix="promptgauge-")
-    spark.conf.set(CHECKPOINT_DIR, fresh)
-    return fresh
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="promptgauge-")
+    return _local_dirs[app]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
