@@ -1,5 +1,3 @@
-import pytest
-from pyspark.sql import functions as F
 
 from promptgauge.operators import answers, reshape
 from promptgauge.plans.jobs import collect_answers
