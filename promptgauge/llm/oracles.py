@@ -2,6 +2,10 @@
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+# base 32 from the hexadecimal SHA-1: five hex digits are four characters
+_B32 = """array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(hex, ((i // 4) * 5 + 1)::INT, 5))::INT >> ((3 - i % 4) * 5)::INT) & 31) + 1, 1)), '')"""
+
 ORACLES = {
     "op2_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOWER} AS body FROM documents),
@@ -9,6 +13,15 @@ ORACLES = {
         SELECT doc_id, keep_id, group_size,
                doc_id IS NOT DISTINCT FROM keep_id AND row_number() OVER (PARTITION BY doc_id, body) = 1 AS kept, text_sha256
         FROM t JOIN g USING (body)""",
+    "op5_warc": f"""
+        WITH t AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        g AS (SELECT payload, max(page_id) AS first_id, count(*) AS of, sha1(payload) AS hex FROM t GROUP BY payload),
+        d AS (SELECT payload, first_id, strlen(payload) AS payload_bytes, {_B32} AS payload_digest FROM g),
+        r AS (SELECT page_id, payload_bytes, payload_digest, first_id,
+                     page_id IS NOT DISTINCT FROM first_id AND row_number() OVER (PARTITION BY page_id, payload) = 1 AS is_first
+              FROM t JOIN d USING (payload))
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN is_first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN NOT is_first THEN first_id END AS refers_to FROM r""",
     "op6_url_filters": r"""
         WITH rules(action, host, path) AS (
             VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),

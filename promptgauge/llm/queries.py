@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from promptgauge.llm.exact_dedup import exact_duplicates
+from promptgauge.llm.packing import packed_documents
+from promptgauge.llm.simhash import simhash_groups
 from promptgauge.llm.url_filter import judged_urls
+from promptgauge.llm.warc import archived
 
 #: Fixed by the contract of op6.
 URL_RULES = [
@@ -27,10 +31,23 @@ def op2_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
+    packed = packed_documents(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return packed.drop("ids")
+
+
+def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return archived(_table(spark, sf, "pages")).drop("url", "payload")
+
+
 def op6_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
     return judged_urls(_table(spark, sf, "pages"), rules)
 
 
+def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash_groups(_table(spark, sf, "documents"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
