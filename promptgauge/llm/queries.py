@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from promptgauge.llm.exact_dedup import exact_duplicates
 from promptgauge.llm.packing import packed_documents
+from promptgauge.llm.pii import KINDS, identifiers, span_text
 from promptgauge.llm.simhash import simhash_groups
+from promptgauge.llm.toxicity import toxicity
 from promptgauge.llm.url_filter import judged_urls
 from promptgauge.llm.warc import archived
 
@@ -45,6 +47,20 @@ def op6_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     return judged_urls(_table(spark, sf, "pages"), rules)
 
 
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
+def op8_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = identifiers(_table(spark, sf, "documents"))
+    base = F.filter("spans", lambda s: ~s["disguised"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, KINDS), F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
 def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_groups(_table(spark, sf, "documents"))
 
