@@ -18,7 +18,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 800_000
 LONGEST_CACHED = 40
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -52,29 +52,40 @@ def chunk_encoder(tokenizer_path: str) -> Callable[[list[str]], list[np.ndarray]
     cutter = spec.get("pre_tokenizer") or {}
     byte_level = spec.get("normalizer") is None and cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True)
     special = [t["content"] for t in spec.get("added_tokens", [])]
-    if not byte_level or any(" " in s for s in special):
+    if not byte_level:
         return lambda texts: [np.asarray(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     model, letters = tokenizer.model, dict(enumerate(_byte_letters()))
+    space = letters[ord(" ")]
     pieces: dict[str, bytes] = {}
     cache: dict[str, bytes] = {}
 
+    def ids_of(shown: str) -> bytes:
+        return array("I", [t.id for t in model.tokenize(shown)]).tobytes()
+
     def of_piece(piece: str) -> bytes:
-        shown = piece.encode("utf-8").decode("latin-1").translate(letters)
-        ids = array("I", [t.id for t in model.tokenize(shown)]).tobytes()
+        ids = ids_of(piece.replace(" ", space) if piece.isascii() and "\n" not in piece else piece.encode("utf-8").decode("latin-1").translate(letters))
         if len(piece) <= LONGEST_CACHED:
             pieces[piece] = ids
         return ids
 
     def of_chunk(chunk: str) -> bytes:
-        if _PLAIN.fullmatch(chunk) and not any(s in chunk for s in special):
+        if chunk.isascii() and chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+            return ids_of(chunk.replace(" ", space))  # one piece
+        if _PLAIN.fullmatch(chunk):
             return b"".join([pieces.get(p) or of_piece(p) for p in _PIECES.findall(chunk)])
-        return array("I", tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        return whole(chunk)
+
+    def whole(text: str) -> bytes:
+        return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         if len(pieces) > CACHE_CHUNKS:
             pieces.clear()
         found = []
         for text in texts:
+            if any(s in text for s in special):
+                found.append(np.frombuffer(whole(text), "<u4"))
+                continue
             cut = chunks_of(text)
             try:
                 ids = b"".join(map(cache.__getitem__, cut))
