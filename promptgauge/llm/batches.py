@@ -32,9 +32,12 @@ def per_text(docs: DataFrame, begin: Callable[[], Callable[[list[str]], Columns]
     return per_row(docs, begin, fields, "text")
 
 
-def per_row(docs: DataFrame, begin: Callable[[], Callable[[list[str]], Columns]], fields: str, text_col: str) -> DataFrame:
-    """As :func:`per_text`, passing on every other column of ``docs`` in front of ``fields``."""
-    others = [c for c in docs.columns if c != text_col]
+def per_row(docs: DataFrame, begin: Callable[[], Callable[..., Columns]], fields: str, text_col: str, *more: str) -> DataFrame:
+    """As :func:`per_text`, passing on every other column of ``docs`` in front of ``fields``.
+
+    The columns named in ``more`` go to the function as further lists and are not passed on.
+    """
+    others = [c for c in docs.columns if c not in (text_col, *more)]
     added = _parse_datatype_string(fields)
     schema = StructType([docs.schema[c] for c in others] + list(added.fields))
     arrow = to_arrow_schema(added)
@@ -43,9 +46,9 @@ def per_row(docs: DataFrame, begin: Callable[[], Callable[[list[str]], Columns]]
         work = begin()
         for batch in batches:
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            rest = batch.select(others)
+            rest, further = batch.select(others), [batch.column(c).to_pylist() for c in more]
             for part in sliced(texts):
-                made = work(texts[part])
+                made = work(texts[part], *[f[part] for f in further])
                 held = rest.slice(part.start, part.stop - part.start)
                 if "_row" in made:
                     held = held.take(pa.array(made["_row"], pa.int64()))

@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from promptgauge.llm.exact_dedup import exact_duplicates
+from promptgauge.llm.licenses import license_scan
 from promptgauge.llm.packing import packed_documents
 from promptgauge.llm.pii import KINDS, identifiers, span_text
+from promptgauge.llm.sentencepiece_bpe import round_trips
 from promptgauge.llm.simhash import simhash_groups
 from promptgauge.llm.toxicity import toxicity
 from promptgauge.llm.url_filter import judged_urls
@@ -38,6 +40,10 @@ def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed.drop("ids")
 
 
+def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan(_table(spark, sf, "documents")).drop("spans")
+
+
 def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
     return archived(_table(spark, sf, "pages")).drop("url", "payload")
 
@@ -61,6 +67,10 @@ def op8_pii(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *map(count, KINDS), F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    return round_trips(_table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_groups(_table(spark, sf, "documents"))
 
