@@ -40,9 +40,14 @@ def _bodies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _name(things: DataFrame, label: str) -> DataFrame:
-    """The distinct rows in sorted order with increasing integers. Written, so that no retry can renumber them."""
-    return written(things.distinct().orderBy(*things.columns).withColumn("name", F.monotonically_increasing_id()), label)
+def _name(things: DataFrame, label: str, *order: Column) -> DataFrame:
+    """The distinct rows in sorted order with increasing integers. Written, so that no retry can renumber them.
+
+    ``order`` is a short first sort key for wide rows: the bounds of the sort's partitions are sampled to the driver.
+    """
+    rows = things.distinct()
+    ranked = rows.repartitionByRange(*order).sortWithinPartitions(*order, *things.columns) if order else rows.orderBy(*things.columns)
+    return written(ranked.withColumn("name", F.monotonically_increasing_id()), label)
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, head: int = HEAD) -> DataFrame:
@@ -59,7 +64,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("size") / block) - 1, F.lit(0)).cast("int"))
     piece = F.col("body").substr(F.col("at") * block + 1, F.lit(block)).alias("piece")
     blocks = written(whole.select("*", F.explode(starts).alias("at")).select(*_ROW, "at", piece), "blocks")
-    named = written(blocks.join(_name(blocks.select("piece"), "names"), "piece").drop("piece"), "named")
+    named = written(blocks.join(_name(blocks.select("piece"), "names", F.substring("piece", 1, 8), F.xxhash64("piece")), "piece").drop("piece"), "named")
     level, covered = 1, block
     while True:
         done = named.filter(F.col("size") <= covered).select(*_ROW, F.lit(level).alias("level"), "name").distinct()
