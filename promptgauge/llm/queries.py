@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from promptgauge.llm.exact_dedup import exact_duplicates
+from promptgauge.llm.graph_search import nearest_neighbours
 from promptgauge.llm.licenses import license_scan
 from promptgauge.llm.packing import packed_documents
 from promptgauge.llm.pii import KINDS, identifiers, span_text
@@ -31,6 +32,10 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_graph_search(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf, "embeddings"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf, "documents"))
 
