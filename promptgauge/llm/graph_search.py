@@ -29,9 +29,10 @@ from promptgauge.session import written
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 8192
 DEGREE, SLACK = 32, 16
-BEAM, WIDTH = 72, 4
+BEAM, WIDTH = 96, 4
 ALPHA = 1.2
 BATCH = 512
+ENTRIES = 64
 GATHERED = 96
 SEED = 3
 
@@ -39,7 +40,7 @@ SEED = 3
 class Graph:
     """The vectors of one shard with their links; -1 fills unused places of ``links``."""
 
-    def __init__(self, vectors: np.ndarray):
+    def __init__(self, vectors: np.ndarray, seed: int = SEED):
         self.raw = vectors
         lengths = (vectors**2).sum(axis=1)
         most = lengths.max(initial=0.0)
@@ -47,26 +48,25 @@ class Graph:
         self.most = np.float32(most)
         self.links = np.full((len(vectors), DEGREE + SLACK), -1, dtype=np.int32)
         self.degree = np.zeros(len(vectors), dtype=np.int64)
-        self.start = int(np.argmax(self.points @ self.points.mean(axis=0))) if len(vectors) else 0
+        # several entries at random places: from a single one a dense group around it may offer no way out
+        self.order = np.random.default_rng(seed).permutation(len(vectors))
+        self.entries = self.order[:ENTRIES]
 
     # building
 
-    def build(self, seed: int) -> None:
-        order = np.random.default_rng(seed).permutation(len(self.points))
-        order = np.r_[self.start, order[order != self.start]].astype(np.int64)
-        at, size = 1, 1
+    def build(self) -> None:
+        order = self.order
+        chosen = self.pruned(self.entries, np.tile(self.entries, (len(self.entries), 1)))
+        self._set(self.entries, chosen)
+        self._link_back(self.entries, chosen)
+        at = len(self.entries)
         while at < len(order):
-            batch = order[at : at + size]
+            batch = order[at : at + min(BATCH, at)]
             found, _ = self.beam_search(self.points[batch], BEAM)
-            if at + size >= BEAM:  # from here on a search alone fills the candidates
-                candidates = found
-            else:
-                candidates = np.c_[found, np.tile(batch, (len(batch), 1))]
-            chosen = self.pruned(batch, candidates)
+            chosen = self.pruned(batch, found)
             self._set(batch, chosen)
             self._link_back(batch, chosen)
             at += len(batch)
-            size = min(BATCH, at)
         over = np.nonzero(self.degree > DEGREE)[0]
         for i in range(0, len(over), BATCH):
             some = over[i : i + BATCH]
@@ -142,10 +142,13 @@ class Graph:
         return found, far
 
     def _beam(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        n, rows = len(queries), np.arange(len(queries))[:, None]
+        n = len(queries)
         nodes, far = np.full((n, beam), -1, dtype=np.int64), np.full((n, beam), np.inf, dtype=np.float32)
         seen, open_ = np.zeros((n, len(self.points)), dtype=bool), np.zeros((n, beam), dtype=bool)
-        nodes[:, 0], far[:, 0], open_[:, 0], seen[:, self.start] = self.start, self.most - queries @ self.points[self.start], True, True
+        first = self.most - queries @ self.points[self.entries].T
+        rank, many = np.argsort(first, axis=1, kind="stable")[:, :beam], min(beam, len(self.entries))
+        nodes[:, :many], far[:, :many] = self.entries[rank], np.take_along_axis(first, rank, 1)
+        open_[:, :many], seen[:, self.entries] = True, True
         active = np.arange(n)
         while len(active):
             # the beam is sorted: the first open places are the best
@@ -212,8 +215,8 @@ def built_index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS, seed: int
     def build(key: tuple, table: pa.Table) -> pa.Table:
         first = np.array([i[0] for i in table["ids"].to_pylist()])
         table = table.take(np.argsort(first))  # so that the same rows give the same graph
-        graph = Graph(_matrix(table["vector"]))
-        graph.build(seed)
+        graph = Graph(_matrix(table["vector"]), seed)
+        graph.build()
         links = [row[row >= 0].tolist() for row in graph.links]
         return pa.Table.from_arrays(
             [table["dims"], table["shard"], pa.array(np.arange(len(table), dtype="i4")), table["ids"], table["vector"], pa.array(links, pa.list_(pa.int32()))],
@@ -238,7 +241,7 @@ def searched(index: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, blo
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(nodes) and len(block):
             nodes = nodes.sort_by("node")
-            graph = Graph(_matrix(nodes["vector"]))
+            graph = Graph(_matrix(nodes["vector"]), seed)
             for i, row in enumerate(nodes["links"].to_pylist()):
                 graph.links[i, : len(row)] = row
             ids = nodes["ids"].to_pylist()
