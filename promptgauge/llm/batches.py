@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 SLICE_CHARS = 8_000_000
 
@@ -32,6 +32,19 @@ def per_text(docs: DataFrame, begin: Callable[[], Callable[[list[str]], Columns]
     return per_row(docs, begin, fields, "text")
 
 
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """``mapInArrow`` for any column names, dots included."""
+    names, made = df.columns, [f.name for f in schema]
+    plain = [f"c{i}" for i in range(max(len(names), len(made)))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(b.rename_columns(names) for b in batches):
+            yield batch.rename_columns(plain[: len(made)])
+
+    out = StructType([StructField(p, f.dataType, True) for p, f in zip(plain, schema)])
+    return df.toDF(*plain[: len(names)]).mapInArrow(renamed, out).toDF(*made)
+
+
 def per_row(docs: DataFrame, begin: Callable[[], Callable[..., Columns]], fields: str, text_col: str, *more: str) -> DataFrame:
     """As :func:`per_text`, passing on every other column of ``docs`` in front of ``fields``.
 
@@ -55,4 +68,4 @@ def per_row(docs: DataFrame, begin: Callable[[], Callable[..., Columns]], fields
                 arrays = [pa.array(made[f.name], f.type, from_pandas=True) for f in arrow]
                 yield pa.RecordBatch.from_arrays([*held.columns, *arrays], names=[*others, *arrow.names])
 
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from promptgauge.llm.batches import per_text, sliced
+from promptgauge.llm.batches import arrow_map, per_text, sliced
 from promptgauge.llm.columns import id_and_text
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -113,7 +113,9 @@ _SPELLED = re.compile(rf"(?<!\w)(?:plus[ ,-])?{_WORD}(?:[ ,-]{{1,2}}(?:{_WORD}|[
 _SPELLED_PART = re.compile(r"\w+")
 _OPEN, _CLOSE = r"[ ]?[\[({<][ ]?", r"[ ]?[\])}>][ ]?"
 _BRACKETED = re.compile(rf"{_OPEN}(?:(at|@)|(dot|\.)|(plus)){_CLOSE}", re.IGNORECASE)
-_BARE_AT = re.compile(r"(?<=[A-Za-z0-9]) (?:at|@) (?=[A-Za-z0-9-]+(?: dot |\.)[A-Za-z0-9])", re.IGNORECASE)
+#: A bare "at" or "dot" is an ordinary word: it counts only before a name that ends in one of these.
+TOP_LEVEL = "com org net edu gov info biz io ai app dev co eu uk de fr es it nl at ch pt br mx us ca".split()
+_BARE_AT = re.compile(rf"(?<=[A-Za-z0-9]) (?:at|@) (?=[A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)*?(?: dot |\.)(?:{'|'.join(TOP_LEVEL)})(?![A-Za-z0-9-]))", re.IGNORECASE)
 _BARE_DOT = re.compile(r"(?<=[A-Za-z0-9-]) dot (?=[A-Za-z0-9])", re.IGNORECASE)
 
 
@@ -252,7 +254,7 @@ def redacted_text(text: str) -> str:
 
 def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with identifiers replaced; ``length_col``, if given, gets the new length."""
-    arrow = to_arrow_schema(docs.select(text_col).schema).field(0)
+    arrow = to_arrow_schema(docs.schema).field(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,7 +263,7 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = N
                 new = [t if t is None else redacted_text(t) for t in texts[part]]
                 yield batch.slice(part.start, part.stop - part.start).set_column(at, arrow, pa.array(new, arrow.type))
 
-    made = docs.mapInArrow(run, docs.schema)
+    made = arrow_map(docs, run, docs.schema)
     if length_col:
         made = made.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(docs.schema[length_col].dataType))
     return made

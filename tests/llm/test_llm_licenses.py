@@ -1,0 +1,66 @@
+import re
+
+import pytest
+from fixtures import ODD, documents
+
+from promptgauge.llm import licenses as op
+from promptgauge.llm.columns import ASCII_LOWER
+
+
+def brute(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(ASCII_LOWER))
+    places, labels = [], set()
+    for phrase, label in {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}.items():
+        p = phrase.split()
+        for i in range(len(words) - len(p) + 1):
+            if words[i : i + len(p)] == p:
+                places.append(i)
+                labels.add(label)
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+TEXTS = [
+    "Released under the MIT License. " * 3,
+    "MIT LICENSE mit license-mit license",
+    "x " * 50 + "Permission is hereby granted, free of charge, to any person who is obtaining a copy of this software and its associated documentation files (the Software), to deal in the Software without any restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense and/or sell copies of the Software" + " y" * 50,
+    "released under the apache license",
+    "This work is licensed under the GNU General Public License, version 3.",
+    "This work is licensed under something of our own",
+    "general public license general public license",
+    "admit license",
+    "Ünlicensed mit  \n license",
+    "All rights reserved.",
+]
+
+
+def test_texts(spark):
+    rows = [*ODD, *((100 + i, t) for i, t in enumerate(TEXTS)), (100, TEXTS[0])]
+    found = op.license_scan(documents(spark, rows)).collect()
+    got = sorted(repr((r["doc_id"], *r[1:6])) for r in found)
+    assert got == sorted(repr((i, *brute(t))) for i, t in rows)
+    by_id = {r["doc_id"]: r for r in found}
+    assert "mit" in by_id[102]["labels"] and by_id[102]["base_labels"] == "" and by_id[102]["score"] > 0.8
+    span = by_id[102]["spans"][0]
+    assert 45 <= span["low"] <= 55 and span["high"] > 90
+    assert by_id[103]["labels"] == "apache" and by_id[103]["score"] == 0.5
+    assert "gpl-3.0" in by_id[104]["labels"] and "cc-by" not in by_id[104]["labels"]
+    assert by_id[105]["labels"] == "" and by_id[109]["labels"] == "" and by_id[105]["score"] == 0
+    assert all(set(r["base_labels"].split(",")) <= set(r["labels"].split(",")) for r in found if r["base_labels"])
+    assert all(0 <= r["score"] <= 1 for r in found)
+
+
+@pytest.mark.parametrize("limit", [0, 50_000])
+def test_either_join_gives_the_same(spark, limit, monkeypatch):
+    monkeypatch.setattr(op, "BROADCAST_ROWS", limit)
+    found = op.license_scan(documents(spark, [(1, TEXTS[2]), (2, TEXTS[4])])).collect()
+    assert sorted((r["doc_id"], r["labels"]) for r in found) == [(1, "mit"), (2, "gpl,gpl-3.0")]
+
+
+def test_copies_far_apart_have_a_span_each(spark):
+    notice = op.TEMPLATES["apache-2.0"][1]
+    found = op.license_scan(documents(spark, [(1, notice + " filler" * 200 + " " + notice)])).first()
+    assert len([s for s in found["spans"] if s["coverage"] > 0.9 and s["high"] - s["low"] > 30]) == 2
+
+
+def test_empty_table(spark):
+    assert op.license_scan(documents(spark, [])).collect() == []
