@@ -6,8 +6,7 @@ template lies on diagonal i - j; hits are counted per (document, template, diago
 (a few words put in or left out move a copy to another diagonal) merge, and each merged span is verified
 against the words themselves: the share of the template's words found in order inside the span.
 
-The template table has a few hundred rows and its size is that of the program text; it is the only side that may
-be broadcast. Hits are counted with map-side combining. Only spans with enough votes go back to the texts.
+The template table has a few hundred rows here; it is broadcast only after its rows are counted. Hits are counted with map-side combining. Only spans with enough votes go back to the texts.
 
 Words are runs of ASCII digits, ASCII letters and any characters beyond ASCII, after A-Z are lower-cased. Base
 labels come from fixed phrases and stand in every place where a phrase's words stand consecutively.
@@ -34,6 +33,7 @@ K = 3
 VOTES = 2
 NEAR = 8
 COVERAGE = 0.6
+BROADCAST_ROWS = 50_000
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Fixed by the contract: phrase and label.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -91,14 +91,19 @@ def gram_hashes(hashes: np.ndarray, k: int = K) -> np.ndarray:
 
 
 def template_table(spark: SparkSession, templates: dict[str, list[str]] | None = None, k: int = K) -> DataFrame:
-    """``gram, label, template, at``: every position of every k-gram of the templates."""
+    """``gram, label, template, at``: every position of every k-gram of the templates.
+
+    The rows are counted here: up to ``BROADCAST_ROWS`` of them (a few MB) are marked for broadcast, so that the
+    k-grams of the documents stay where they are; a larger table is joined as Spark sees fit, with the same result.
+    """
     rows: list[tuple] = []
     for label, texts in (TEMPLATES if templates is None else templates).items():
         for n, text in enumerate(texts):
             words = words_of(text)
             grams = gram_hashes(np.array([_word_hash(w) for w in words], "u8"), k)
             rows += [(int(g), label, n, i) for i, g in enumerate(grams)]
-    return spark.createDataFrame(rows, "gram long, label string, template int, at int")
+    table = spark.createDataFrame(rows, "gram long, label string, template int, at int")
+    return F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
 
 
 def phrase_places(words: list[bytes], phrases: list[list[bytes]]) -> list[list[int]]:
