@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 
 from promptgauge.session import written
 
-SKETCH = 10_000  # sketch accuracy; groups up to this size are ranked whole
-
 
 def cumulative_before(df: DataFrame, keys: list[str], order: list[str], weight: str | None = None) -> DataFrame:
     """Add ``before``: the total weight (row count by default) of the rows that come earlier in the group.
@@ -42,58 +40,23 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataF
 def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], out: str = "quantiles") -> DataFrame:
     """``keys, out``: exact interpolated quantiles of each group, in the order of ``probs``.
 
-    A bounded sketch brackets each wanted rank first. Rows outside every bracket are only counted,
-    map-side; the few distinct values inside are ranked exactly.
+    Equal values are counted map-side; the distinct ones are placed by :func:`cumulative_before`, so a group of any
+    size is cut over many slices. A quantile then reads the two values that hold its lower and upper place.
     """
-    counted = df.filter(F.col(value).isNotNull())
-    spare = 4.0 / SKETCH  # wider than the sketch error
-    short = F.col("n") <= SKETCH
-    lows = F.percentile_approx(value, [max(0.0, p - spare) for p in probs], SKETCH)
-    highs = F.percentile_approx(value, [min(1.0, p + spare) for p in probs], SKETCH)
-    brackets = counted.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min(value).alias("lowest"), F.max(value).alias("highest"), lows.alias("lows"), highs.alias("highs")
-    )
-    wanted = brackets.select(
-        *keys,
-        "n",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("at"),
-                        F.lit(p).alias("p"),
-                        F.when(short | F.lit(p <= spare), F.col("lowest")).otherwise(F.col("lows")[i]).alias("low"),
-                        F.when(short | F.lit(p >= 1 - spare), F.col("highest")).otherwise(F.col("highs")[i]).alias("high"),
-                    )
-                    for i, p in enumerate(probs)
-                ]
-            )
-        ).alias("w"),
-    ).select(*keys, "n", "w.*")
-    bounds = wanted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "low", "high"))).alias("bounds"))
-    marked = counted.join(bounds, keys)
-    below = [F.count_if(F.col(value) < F.col("bounds")[i]["low"]).alias(f"below_{i}") for i in range(len(probs))]
-    skipped = marked.groupBy(*keys).agg(F.array(*below).alias("below"))
-    inside = (
-        marked.select(*keys, value, F.explode(F.filter("bounds", lambda b: F.col(value).between(b["low"], b["high"]))).alias("b"))
-        .groupBy(*keys, F.col("b.at").alias("at"), F.col(value).alias("v"))
-        .agg(F.count("*").alias("ties"))
-    )
-    upto = W.partitionBy(*keys, "at").orderBy("v")
-    ranked = inside.withColumn("last", F.sum("ties").over(upto)).join(skipped, keys).join(
-        wanted.select(*keys, "at", "n", "p"), [*keys, "at"]
-    )
-    last = F.col("last") + F.element_at("below", F.col("at") + 1)
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("ties"))
+    placed = written(cumulative_before(counted, keys, ["v"], "ties"), "placed")
+    sizes = placed.groupBy(*keys).agg(F.sum("ties").alias("n"))
     place = F.col("p") * (F.col("n") - 1)
-    hit = ranked.select(
-        *keys,
-        "at",
-        (place - F.floor(place)).alias("part"),
-        F.when(last > F.floor(place), F.col("v")).alias("lower"),
-        F.when(last > F.ceil(place), F.col("v")).alias("upper"),
+    wanted = sizes.select(*keys, "n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("at", "p")).select(
+        *keys, "at", (place - F.floor(place)).alias("part"), F.explode(F.array(F.floor(place), F.ceil(place))).alias("spot")
+    )
+    # a few wanted places per group; each distinct value is held against the list of its group
+    spots = wanted.groupBy(*keys).agg(F.collect_set("spot").alias("spots"))
+    held = placed.join(spots, keys).select(
+        *keys, "v", F.explode(F.filter("spots", lambda s: (s >= F.col("before")) & (s < F.col("before") + F.col("ties")))).alias("spot")
     )
-    per_prob = hit.groupBy(*keys, "at").agg(
-        F.max("part").alias("part"), F.min("lower").alias("lower"), F.min("upper").alias("upper")
+    per_prob = wanted.join(held, [*keys, "spot"]).groupBy(*keys, "at").agg(
+        F.max("part").alias("part"), F.min("v").alias("lower"), F.max("v").alias("upper")
     )
     found = F.col("lower") + (F.col("upper") - F.col("lower")) * F.col("part")
     return per_prob.groupBy(*keys).agg(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -41,11 +42,12 @@ def similarity_scores(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.count("*").alias("n_pairs"), F.corr("r", "g").alias("spearman"))
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """``query_id, doc_id, similarity, rank``: exact cosine top k of each query over the whole corpus.
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, keys: Sequence[str] = (), exclude_self: bool = False) -> DataFrame:
+    """``keys, query_id, doc_id, similarity, rank``: exact cosine top k of each query over the whole corpus of its keys.
 
     Both sides are cut into blocks by hash. A pair of blocks is one matrix product and sends on at most
-    ``k`` rows per query, so the all-pairs table never exists. A document never answers itself.
+    ``k`` rows per query, so the all-pairs table never exists. ``exclude_self`` is for the search of a table in
+    itself: a document then never answers the query of its own id.
     """
     n_queries = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     n_corpus = max(1, math.ceil(corpus.count() / CORPUS_BLOCK))
@@ -55,7 +57,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
         return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "doc_id", "similarity"]
+        names = [*keys, "query_id", "doc_id", "similarity"]
         if left.empty or right.empty:
             return pd.DataFrame(columns=names)
         right = right.sort_values("doc_id")
@@ -64,7 +66,8 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
         for start in range(0, len(left), 256):
             part = left.iloc[start : start + 256]
             scores = np.round(unit(part["vector"]) @ documents.T, DIGITS)
-            scores[part["query_id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
+            if exclude_self:
+                scores[part["query_id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
             top = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # stable: lower ids first among ties
             found.append(
                 pd.DataFrame(
@@ -75,22 +78,22 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
                     }
                 )
             )
-        found = pd.concat(found)
+        found = pd.concat(found).assign(**{key: left[key].iloc[0] for key in keys})[names]
         return found[np.isfinite(found["similarity"])]
 
-    left = queries.select("query_id", F.col("vector").alias("vector"))
-    right = corpus.select("doc_id", F.col("vector").alias("vector"))
-    per_block = block_cross(
-        left, right, n_queries, n_corpus, "query_id", "doc_id", best, "query_id long, doc_id long, similarity double"
-    )
-    order = W.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id")
+    left = queries.select(*keys, "query_id", F.col("vector").alias("vector"))
+    right = corpus.select(*[F.col(c).alias(c) for c in keys], "doc_id", F.col("vector").alias("vector"))
+    schema = "".join(f"`{key}` {queries.schema[key].dataType.simpleString()}, " for key in keys)
+    schema += "query_id long, doc_id long, similarity double"
+    per_block = block_cross(left, right, n_queries, n_corpus, "query_id", "doc_id", best, schema, keys)
+    order = W.partitionBy(*keys, "query_id").orderBy(F.desc("similarity"), "doc_id")
     return per_block.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def retrieval_scores(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
-    """``query_id, ndcg, recall, mrr`` at k. ``hits``: query_id, rank, relevant (0/1); ``relevant``: query_id, n_relevant."""
+def retrieval_scores(hits: DataFrame, relevant: DataFrame, k: int, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, query_id, ndcg, recall, mrr`` at k. ``hits``: keys, query_id, rank, relevant (0/1); ``relevant``: keys, query_id, n_relevant."""
     gain = F.col("relevant") / F.log2(F.col("rank") + 1)
-    per_query = hits.groupBy("query_id").agg(
+    per_query = hits.groupBy(*keys, "query_id").agg(
         F.sum(gain).alias("dcg"),
         F.sum("relevant").alias("found"),
         F.min(F.when(F.col("relevant") == 1, F.col("rank"))).alias("first"),
@@ -99,7 +102,8 @@ def retrieval_scores(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     for i in range(k):
         ideal.append(ideal[-1] + 1 / math.log2(i + 2))
     best = F.element_at(F.array(*[F.lit(x) for x in ideal]), F.least(F.col("n_relevant"), F.lit(k)).cast("int") + 1)
-    return relevant.join(per_query, "query_id", "left").select(
+    return relevant.join(per_query, [*keys, "query_id"], "left").select(
+        *keys,
         "query_id",
         F.when(F.col("n_relevant") > 0, F.coalesce("dcg", F.lit(0.0)) / best).otherwise(0.0).alias("ndcg"),
         F.when(F.col("n_relevant") > 0, F.coalesce("found", F.lit(0)) / F.col("n_relevant")).otherwise(0.0).alias("recall"),
@@ -107,73 +111,55 @@ def retrieval_scores(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     )
 
 
-def centroids(train: DataFrame) -> DataFrame:
-    """``label, vector``: mean vector per label. Each task sums its own rows first; one row per label and place is shuffled."""
-
-    def sums(batches):
-        totals: dict = {}
-        for batch in batches:
-            for label, rows in batch.groupby("label")["vector"]:
-                matrix = np.stack(rows.to_numpy()).astype(float)
-                n, total = totals.get(label, (0, 0.0))
-                totals[label] = (n + len(matrix), total + matrix.sum(axis=0))
-        yield pd.DataFrame(
-            [(label, n, total) for label, (n, total) in totals.items()], columns=["label", "n", "total"]
-        )
+def centroids(train: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, label, vector``: mean vector per label. Partial sums are made map-side; one row per label and place is shuffled."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
 
-    parts = train.select("label", doubles(F.col("vector")).alias("vector")).mapInPandas(
-        sums, "label long, n long, total array<double>"
-    )
-    means = (
-        parts.select("label", "n", F.posexplode("total").alias("at", "value"))
-        .groupBy("label", "at")
-        .agg((F.sum("value") / F.sum("n")).alias("mean"))
-    )
-    return means.groupBy("label").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "mean"))), lambda x: x["mean"]).alias("vector")
-    )
+    rows = train.select(*keys, "label", array_to_vector(doubles(F.col("vector"))).alias("features"))
+    return rows.groupBy(*keys, "label").agg(Summarizer.mean(F.col("features")).alias("mean")).select(*keys, "label", vector_to_array("mean").alias("vector"))
 
 
-def centroid_predictions(train: DataFrame, test: DataFrame) -> DataFrame:
-    """``vec_id, label, predicted``: label of the nearest centroid by cosine, lower label on ties."""
+def centroid_predictions(train: DataFrame, test: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, vec_id, label, predicted``: label of the nearest centroid by cosine, lower label on ties."""
     hits = nearest(
-        test.select(F.col("vec_id").alias("query_id"), doubles(F.col("vector")).alias("vector")).withColumn(
-            "query_id", -F.col("query_id") - 1
-        ),  # query ids below every label, so that no query is taken for a centroid
-        centroids(train).select(F.col("label").alias("doc_id"), "vector"),
+        test.select(*keys, F.col("vec_id").alias("query_id"), doubles(F.col("vector")).alias("vector")),
+        centroids(train, keys).select(*keys, F.col("label").alias("doc_id"), "vector"),
         1,
+        keys,
     )
-    named = hits.select((-F.col("query_id") - 1).alias("vec_id"), F.col("doc_id").alias("predicted"))
-    return test.select("vec_id", F.col("label").cast("long").alias("label")).join(named, "vec_id")
+    named = hits.select(*keys, F.col("query_id").alias("vec_id"), F.col("doc_id").alias("predicted"))
+    return test.select(*keys, "vec_id", F.col("label").cast("long").alias("label")).join(named, [*keys, "vec_id"])
 
 
-def classification_scores(predictions: DataFrame) -> DataFrame:
-    """``n, accuracy, macro_f1`` from label and predicted; F1 is 0 for a label never hit."""
-    cells = predictions.groupBy("label", "predicted").agg(F.count("*").alias("n"))
+def classification_scores(predictions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, n, accuracy, macro_f1`` from label and predicted; F1 is 0 for a label never hit."""
+    cells = predictions.groupBy(*keys, "label", "predicted").agg(F.count("*").alias("n"))
     hit = F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0)
-    sides = cells.select(F.col("label").alias("c"), F.col("n").alias("actual"), F.lit(0).alias("guessed"), hit.alias("hit")).unionByName(
-        cells.select(F.col("predicted").alias("c"), F.lit(0).alias("actual"), F.col("n").alias("guessed"), F.lit(0).alias("hit"))
+    sides = cells.select(*keys, F.col("label").alias("c"), F.col("n").alias("actual"), F.lit(0).alias("guessed"), hit.alias("hit")).unionByName(
+        cells.select(*keys, F.col("predicted").alias("c"), F.lit(0).alias("actual"), F.col("n").alias("guessed"), F.lit(0).alias("hit"))
     )
-    per_label = sides.groupBy("c").agg(F.sum("actual").alias("actual"), F.sum("guessed").alias("guessed"), F.sum("hit").alias("hit"))
-    return per_label.agg(
+    per_label = sides.groupBy(*keys, "c").agg(F.sum("actual").alias("actual"), F.sum("guessed").alias("guessed"), F.sum("hit").alias("hit"))
+    return per_label.groupBy(*keys).agg(
         F.sum("actual").alias("n"),
         (F.sum("hit") / F.sum("actual")).alias("accuracy"),
         F.avg(2 * F.col("hit") / (F.col("actual") + F.col("guessed"))).alias("macro_f1"),
     )
 
 
-def clustering_scores(assigned: DataFrame) -> DataFrame:
-    """``n, homogeneity, completeness, v_measure`` of cluster against label, from their counts alone."""
-    cells = assigned.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+def clustering_scores(assigned: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, n, homogeneity, completeness, v_measure`` of cluster against label, from their counts alone."""
+    by = [*keys, "__all"]
+    cells = assigned.withColumn("__all", F.lit(1)).groupBy(*by, "cluster", "label").agg(F.count("*").alias("n"))
 
     def spread(df: DataFrame, name: str) -> DataFrame:
         """n log n summed, the only thing entropies need."""
-        return df.agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias(name))
+        return df.groupBy(*by).agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias(name))
 
     joint = spread(cells, "joint")
-    by_cluster = spread(cells.groupBy("cluster").agg(F.sum("n").alias("n")), "clusters").drop("total")
-    by_label = spread(cells.groupBy("label").agg(F.sum("n").alias("n")), "labels").drop("total")
-    one = joint.withColumn("k", F.lit(1)).join(by_cluster.withColumn("k", F.lit(1)), "k").join(by_label.withColumn("k", F.lit(1)), "k")
+    by_cluster = spread(cells.groupBy(*by, "cluster").agg(F.sum("n").alias("n")), "clusters").drop("total")
+    by_label = spread(cells.groupBy(*by, "label").agg(F.sum("n").alias("n")), "labels").drop("total")
+    one = joint.join(by_cluster, by).join(by_label, by)
     n = F.col("total")
     h_label = F.log(n) - F.col("labels") / n
     h_cluster = F.log(n) - F.col("clusters") / n
@@ -181,7 +167,7 @@ def clustering_scores(assigned: DataFrame) -> DataFrame:
     h_cluster_given = (F.col("labels") - F.col("joint")) / n
     homogeneity = F.when(h_label > 0, 1 - h_label_given / h_label).otherwise(1.0)
     completeness = F.when(h_cluster > 0, 1 - h_cluster_given / h_cluster).otherwise(1.0)
-    scored = one.select(n.alias("n"), homogeneity.alias("homogeneity"), completeness.alias("completeness"))
+    scored = one.select(*keys, n.alias("n"), homogeneity.alias("homogeneity"), completeness.alias("completeness"))
     both = F.col("homogeneity") + F.col("completeness")
     return scored.withColumn(
         "v_measure", F.when(both > 0, 2 * F.col("homogeneity") * F.col("completeness") / both).otherwise(0.0)

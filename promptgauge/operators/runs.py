@@ -12,6 +12,7 @@ from promptgauge.functions.ranking import cumulative_before
 RETRIEVAL = "Retrieval"
 RAW_PREFIX = "prefix"
 INSTRUCT = "instruct"
+RUN_KEY = ["model", "revision", "task", "experiment_id"]
 
 
 def of_task_type(prompts: DataFrame, task_type: str | None = None, type_col: str = "task_description") -> DataFrame:
@@ -67,7 +68,7 @@ def effective_prompts(experiments: DataFrame, models: DataFrame) -> DataFrame:
     builtin = F.when(F.col("wrapper") == RAW_PREFIX, F.col("builtin"))
     chosen = F.when(F.col("is_baseline"), builtin).otherwise(F.col("prompts"))
     unknown = F.raise_error(F.concat(F.lit("Unknown wrapper: "), F.col("wrapper")))
-    joined = experiments.join(models.select("model", "wrapper", "builtin"), "model")
+    joined = experiments.join(models.select("model", "wrapper", "builtin", *[c for c in ("template",) if c in models.columns]), "model")
     return joined.withColumn("effective", F.when(known, chosen).otherwise(unknown)).drop("builtin")
 
 
@@ -80,17 +81,18 @@ def experiment_key(prompts: Column) -> Column:
 def experiments_of(assigned: DataFrame, include_baseline: bool = True) -> DataFrame:
     """Custom experiment of each assigned prompt and one baseline per model and task.
 
-    ``assigned``: ``model, task, task_class, generated_prompt``. A baseline repeats with every prompt;
-    the repeats are dropped map-side.
+    ``assigned``: ``model, task, task_class, generated_prompt`` and, if the models have any, ``revision``. A
+    baseline repeats with every prompt; the repeats are dropped map-side.
     """
+    of = [c for c in ("model", "revision", "task", "task_class") if c in assigned.columns]
     own = prompt_map(F.col("task"), F.col("task_class"), F.col("generated_prompt"))
     kinds = [F.lit(False)] + ([F.lit(True)] if include_baseline else [])
-    rows = assigned.select("model", "task", "task_class", own.alias("own"), F.explode(F.array(*kinds)).alias("is_baseline"))
+    rows = assigned.select(*of, own.alias("own"), F.explode(F.array(*kinds)).alias("is_baseline"))
     prompts = F.when(~F.col("is_baseline"), F.col("own"))
-    keyed = rows.select("model", "task", "task_class", "is_baseline", prompts.alias("prompts")).withColumn(
+    keyed = rows.select(*of, "is_baseline", prompts.alias("prompts")).withColumn(
         "experiment_id", experiment_key(F.col("prompts"))
     )
-    return keyed.dropDuplicates(["model", "task", "is_baseline", "experiment_id"])
+    return keyed.dropDuplicates([c for c in of if c != "task_class"] + ["is_baseline", "experiment_id"])
 
 
 def not_done(plan: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -105,7 +107,8 @@ def not_done(plan: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 def in_chunks(work: DataFrame, n_chunks: int, order: list[str]) -> DataFrame:
     """Add ``chunk`` (1-based): contiguous slices of even size, the first ones larger by one where they must be."""
     placed = cumulative_before(work, [], order)
-    total = work.count()
+    total = placed.agg(F.max("before")).first()[0]
+    total = 0 if total is None else total + 1  # from the written slices: the source is evaluated once
     chunks = max(1, min(n_chunks, total))
     base, more = divmod(total, chunks)
     at = F.col("before")
@@ -130,7 +133,8 @@ def run_chunks(
             yield batch.assign(output=encoder(batch))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema)
-    spread = work.repartitionByRange(n_chunks, "chunk").sortWithinPartitions("chunk", *order)
+    # chunk i goes to task i - 1: no sampled bounds that could put two chunks into one task
+    spread = work.repartitionById(n_chunks, (F.col("chunk") - 1).cast("int")).sortWithinPartitions("chunk", *order)
     return spread.mapInPandas(encode, f"{fields}, output {out_type}")
 
 

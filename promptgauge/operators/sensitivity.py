@@ -100,8 +100,8 @@ def prompt_hacking(scores: DataFrame) -> DataFrame:
 
 
 def _draw_number(*parts: Column) -> Column:
-    """Repeatable whole number from a digest; the same in any engine."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 8), 16, 10).cast("long")
+    """Repeatable whole number of 60 bits from a digest, more than any group has rows; the same in any engine."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 15), 16, 10).cast("long")
 
 
 def simulated_leaderboards(scores: DataFrame, draws: int) -> DataFrame:

@@ -32,7 +32,7 @@ def plan_runs(
     excluded = list(excluded)
     wanted = runs.to_run(assigned, excluded) if excluded else assigned
     plan = runs.experiments_of(wanted, include_baseline)
-    left = runs.not_done(plan, done, ["model", "task", "experiment_id"])
+    left = runs.not_done(plan, done, [c for c in runs.RUN_KEY if c in plan.columns])  # a new revision is a new run
     return runs.in_chunks(left.withColumn("order_key", F.coalesce("experiment_id", F.lit(""))), n_chunks, ["task", "model", "order_key"])
 
 

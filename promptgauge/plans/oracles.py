@@ -120,9 +120,9 @@ _TEXTS = """texts AS (
     SELECT doc_id AS text_id, 'document' AS role, text,
            CASE lang WHEN 'en' THEN 'SMALL' WHEN 'fr' THEN 'ECONOMY' WHEN 'de' THEN 'LARGE' ELSE 'MEDIUM' END AS task FROM documents
     UNION ALL SELECT item_id, 'query', text, 'SMALL' FROM benchmark)),
-firsts AS (SELECT p_type AS task, min(p_name) AS prompt FROM part GROUP BY 1),
+every AS (SELECT DISTINCT p_type AS task, 'Find ' || p_brand AS prompt FROM part),
 resolved AS (
-  SELECT t.*, CASE WHEN prompt_type = 'document' THEN NULL ELSE f.prompt END AS prompt FROM texts t JOIN firsts f USING (task))"""
+  SELECT t.*, f.prompt AS given, CASE WHEN prompt_type = 'document' THEN NULL ELSE f.prompt END AS prompt FROM texts t JOIN every f USING (task))"""
 
 _EXPERIMENTS = """assigned AS (
   SELECT 'org/m' || s_nationkey AS model, s_nationkey AS nation, p_type AS task,
@@ -246,11 +246,12 @@ FROM tasked t JOIN answered a USING (request_id)""",
     "count(*) FILTER (WHERE id <> kept_id) AS removed FROM decisions GROUP BY 1",
     "prompt_maps_o32": "SELECT p_partkey AS id, CASE WHEN p_type IN ('SMALL', 'LARGE') THEN p_type || '-query' ELSE p_type END AS key, p_name AS prompt FROM part "
     "UNION ALL SELECT p_partkey, 'query', p_name FROM part WHERE p_type IN ('SMALL', 'LARGE')",
-    "resolved_prompts_o33": f"WITH {_TEXTS} SELECT role, text_id, task, prompt FROM resolved",
+    "resolved_prompts_o33": f"WITH {_TEXTS} SELECT role, task, given AS prompt, prompt AS resolved, count(*) AS n_texts FROM resolved GROUP BY 1, 2, 3, 4",
     "prompted_texts_o34": f"""WITH {_TEXTS}, shown AS (
-  SELECT role, text_id, CASE WHEN prompt IS NULL THEN '' WHEN task IN ('SMALL', 'MEDIUM') THEN 'Instruct: ' || prompt || chr(10) || 'Query: '
+  SELECT role, task, given, CASE WHEN prompt IS NULL THEN '' WHEN task IN ('SMALL', 'MEDIUM') THEN 'Instruct: ' || prompt || chr(10) || 'Query: '
     ELSE prompt END || text AS shown FROM resolved)
-SELECT role, text_id, md5(shown) AS text_digest, length(shown)::INT AS text_length FROM shown""",
+SELECT role, task, given AS prompt, count(*) AS n_texts, sum(length(shown))::BIGINT AS characters,
+  sum(('0x' || substr(md5(shown), 1, 8))::BIGINT)::BIGINT AS digest_sum FROM shown GROUP BY 1, 2, 3""",
     "effective_prompts_o35": f"""WITH {_EXPERIMENTS}, wrapped AS (
   SELECT *, CASE WHEN nation % 2 = 0 THEN 'instruct' ELSE 'prefix' END AS wrapper FROM experiments)
 SELECT model, task, experiment_id, wrapper, CASE WHEN task_class = 'Retrieval' THEN task || '-query' ELSE task END AS key, prompt FROM wrapped WHERE NOT is_baseline
@@ -260,7 +261,8 @@ UNION ALL SELECT model, task, experiment_id, wrapper, key, prompt2 FROM wrapped,
 WHERE is_baseline AND wrapper = 'prefix'""",
     "experiments_o36": f"WITH {_EXPERIMENTS} SELECT model, task, task_class, is_baseline, count(*) AS n_experiments FROM experiments GROUP BY 1, 2, 3, 4",
     "experiment_keys_o37": f"WITH {_EXPERIMENTS} SELECT model, task, is_baseline, experiment_id FROM experiments",
-    "remaining_runs_o38": f"WITH {_EXPERIMENTS} SELECT model, task, is_baseline, experiment_id FROM experiments WHERE NOT finished",
+    "remaining_runs_o38": f"WITH {_EXPERIMENTS} SELECT model, revision, task, is_baseline, experiment_id FROM experiments, "
+    "(VALUES ('r1'), ('r2')) AS r(revision) WHERE revision = 'r2' OR NOT finished",
     "chunks_o39": f"SELECT p_partkey AS id, p_type AS task, ntile({CHUNKS}) OVER (ORDER BY p_partkey) AS chunk FROM part",
     "chunk_run_o40": f"SELECT p_partkey AS id, ntile({CHUNKS}) OVER (ORDER BY p_partkey) AS chunk, length(p_name)::DOUBLE AS characters, "
     "(length(p_name) - length(replace(p_name, 'e', '')))::DOUBLE AS es FROM part",
@@ -331,7 +333,7 @@ SELECT task, experiment_id, count(*) AS n_runs FROM runs WHERE experiment_id IN
   SELECT *, row_number() OVER (PARTITION BY model, task ORDER BY substr(sha256(experiment_id::VARCHAR), 1, 2), experiment_id) - 1 AS spot
   FROM scores WHERE NOT is_baseline), totals AS (SELECT model, task, count(*) AS total FROM numbered GROUP BY 1, 2),
 drawn AS (
-  SELECT model, task, draw, ('0x' || substr(sha256(model || '|' || task || '|' || draw), 1, 8))::BIGINT % total AS spot
+  SELECT model, task, draw, ('0x' || substr(sha256(model || '|' || task || '|' || draw), 1, 15))::BIGINT % total AS spot
   FROM totals, range(0, {DRAWS}) AS d(draw)),
 boards AS (SELECT draw, model, round(avg(score), 9) AS mean_score FROM drawn JOIN numbered USING (model, task, spot) GROUP BY 1, 2),
 ranked AS (SELECT *, rank() OVER (PARTITION BY draw ORDER BY mean_score DESC) AS rank FROM boards)

@@ -245,17 +245,21 @@ def prompt_maps_o32(spark, sf):
 
 
 def resolved_prompts_o33(spark, sf):
-    joined = t.texts(spark, sf).join(t.task_prompts(spark, sf), "task")
+    texts = t.texts(spark, sf).groupBy("role", "task", "task_class", "prompt_type").agg(F.count("*").alias("n_texts"))
     found = runs.resolved_prompt(F.col("prompts"), F.col("task"), F.col("task_class"), F.col("prompt_type"))
-    return joined.select("role", "text_id", "task", found.alias("prompt"))
+    return texts.join(t.task_prompts(spark, sf), "task").select("role", "task", "prompt", found.alias("resolved"), "n_texts")
 
 
 def prompted_texts_o34(spark, sf):
-    joined = t.texts(spark, sf).join(t.task_prompts(spark, sf), "task")
+    # the texts of a task are dealt out, each meets every prompt of its task
+    joined = spread(t.texts(spark, sf), "text_id").join(t.task_prompts(spark, sf), "task")
     prompt = runs.resolved_prompt(F.col("prompts"), F.col("task"), F.col("task_class"), F.col("prompt_type"))
     wrapper = F.when(F.col("task").isin("SMALL", "MEDIUM"), runs.INSTRUCT).otherwise(runs.RAW_PREFIX)
     shown = runs.prompted_text(F.col("text"), prompt, wrapper, F.lit("Instruct: {instruction}\nQuery: "))
-    return joined.select("role", "text_id", F.md5(shown).alias("text_digest"), F.length(shown).alias("text_length"))
+    digest = F.conv(F.substring(F.md5(shown), 1, 8), 16, 10).cast("long")
+    return joined.groupBy("role", "task", "prompt").agg(
+        F.count("*").alias("n_texts"), F.sum(F.length(shown)).alias("characters"), F.sum(digest).alias("digest_sum")
+    )
 
 
 def _experiments(spark, sf):
@@ -276,8 +280,11 @@ def experiment_keys_o37(spark, sf):
 
 
 def remaining_runs_o38(spark, sf):
-    done = runs.experiments_of(t.assigned_prompts(spark, sf).filter("finished"))
-    return runs.not_done(_experiments(spark, sf), done, ["model", "task", "experiment_id"]).select("model", "task", "is_baseline", "experiment_id")
+    """Runs of two revisions of every model; stored results are of the first only."""
+    done = runs.experiments_of(t.assigned_prompts(spark, sf).filter("finished").withColumn("revision", F.lit("r1")))
+    assigned = t.assigned_prompts(spark, sf).withColumn("revision", F.explode(F.array(F.lit("r1"), F.lit("r2"))))
+    left = runs.not_done(runs.experiments_of(assigned), done, runs.RUN_KEY)
+    return left.select(*runs.RUN_KEY, "is_baseline")
 
 
 def chunks_o39(spark, sf):
@@ -298,8 +305,8 @@ def chunk_run_o40(spark, sf):
 
 
 def chunk_summary_o41(spark, sf):
-    work = runs.in_chunks(runs.with_status(t.prompts(spark, sf), EXCLUDED).select("id", "status"), CHUNKS, ["id"])
-    return runs.completed(work)
+    rows = runs.with_status(t.prompts(spark, sf), EXCLUDED).select("id", "status", "generated_prompt")
+    return runs.completed(runs.run_chunks(runs.in_chunks(rows, CHUNKS, ["id"]), _length_encoder, CHUNKS, ["id"]))
 
 
 # scores
@@ -317,7 +324,7 @@ def similarity_o42(spark, sf):
 
 def _hits(spark, sf):
     v = t.vectors(spark, sf)
-    found = evaluate.nearest(v.select(F.col("vec_id").alias("query_id"), "vector"), v.select(F.col("vec_id").alias("doc_id"), "vector"), TOP)
+    found = evaluate.nearest(v.select(F.col("vec_id").alias("query_id"), "vector"), v.select(F.col("vec_id").alias("doc_id"), "vector"), TOP, exclude_self=True)
     labels = v.select("vec_id", "label")
     return (
         found.join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted")), "query_id")

@@ -132,10 +132,10 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def task_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One prompt map per task: that of its first prompt."""
-    first = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("task")).agg(F.min("p_name").alias("prompt"))
+    """``task, prompt, prompts``: every prompt of a task with its map; prompts are the brands sold under a part type."""
+    every = table(spark, sf_dir, "part").select(F.col("p_type").alias("task"), F.concat_ws(" ", F.lit("Find"), "p_brand").alias("prompt")).distinct()
     kind = F.when(F.col("task").isin("SMALL", "LARGE"), RETRIEVAL).otherwise(F.col("task"))
-    return first.select("task", prompt_map(F.col("task"), kind, F.col("prompt")).alias("prompts"))
+    return every.select("task", "prompt", prompt_map(F.col("task"), kind, F.col("prompt")).alias("prompts"))
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from promptgauge.functions import ranking
 from promptgauge.functions.ranking import average_ranks, cumulative_before, group_quantiles
 from promptgauge.operators import audit, evaluate, sensitivity
 from promptgauge.plans.jobs import audit_runs, sensitivity_report
@@ -20,10 +19,7 @@ def values(spark):
     return spark.createDataFrame(data, "g string, v double").repartition(5), pd.DataFrame(data, columns=["g", "v"])
 
 
-@pytest.mark.parametrize("sketch", [10_000, 100])
-def test_quantiles_are_exact(values, sketch, monkeypatch):
-    """A small sketch forces the bracketed path."""
-    monkeypatch.setattr(ranking, "SKETCH", sketch)
+def test_quantiles_are_exact(values):
     df, pdf = values
     probs = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
     got = {r.g: r.quantiles for r in group_quantiles(df, ["g"], "v", probs).collect()}
@@ -50,7 +46,7 @@ def test_nearest_over_several_blocks(spark, monkeypatch):
     vectors = rng.normal(size=(60, 6))
     vectors[10:20] = vectors[0]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, vector array<double>")
-    hits = evaluate.nearest(df.select(F.col("id").alias("query_id"), "vector"), df.select(F.col("id").alias("doc_id"), "vector"), 4)
+    hits = evaluate.nearest(df.select(F.col("id").alias("query_id"), "vector"), df.select(F.col("id").alias("doc_id"), "vector"), 4, exclude_self=True)
     got = {(r.query_id, r["rank"]): r.doc_id for r in hits.collect()}
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     sims = np.round(unit @ unit.T, evaluate.DIGITS)
@@ -137,3 +133,39 @@ def test_prompt_files(spark, tmp_path):
     assert both.count() == 4 and {r.source.rsplit("/", 1)[1] for r in both.collect()} == {"a.json", "b.json"}
     kept, removed = write_dedup(both.select("task"), both.select("task", "n"), str(tmp_path / "out"), ["task"])
     assert spark.read.parquet(kept).count() == 4 and spark.read.parquet(removed).filter("task = 't'").count() == 4
+
+
+def test_nearest_with_overlapping_ids_and_keys(spark):
+    """A query and a document with one id are different rows, and keys do not meet each other."""
+    queries = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("b", 1, [0.0, 1.0])], "e string, query_id long, vector array<double>")
+    corpus = spark.createDataFrame(
+        [("a", 1, [2.0, 0.0]), ("a", 2, [0.0, 1.0]), ("b", 3, [1.0, 0.0]), ("b", 4, [0.0, 3.0])], "e string, doc_id long, vector array<double>"
+    )
+    got = {(r.e, r["rank"]): r.doc_id for r in evaluate.nearest(queries, corpus, 2, ["e"]).collect()}
+    assert got == {("a", 1): 1, ("a", 2): 2, ("b", 1): 4, ("b", 2): 3}
+    alone = evaluate.nearest(queries, corpus, 1, ["e"], exclude_self=True).collect()
+    assert {(r.e, r.doc_id) for r in alone} == {("a", 2), ("b", 4)}
+
+
+def test_keyed_scores_equal_scores_one_by_one(spark):
+    rng = random.Random(8)
+    rows = [(e, i, rng.randrange(3), rng.randrange(3), [rng.gauss(0, 1) for _ in range(4)]) for e in "xyz" for i in range(40)]
+    df = spark.createDataFrame(rows, "e string, vec_id long, label long, cluster long, vector array<double>")
+    guessed = df.withColumn("predicted", F.col("cluster"))
+    both = {r.e: r for r in evaluate.classification_scores(guessed, ["e"]).collect()}
+    clusters = {r.e: r for r in evaluate.clustering_scores(df, ["e"]).collect()}
+    near = {(r.e, r.vec_id): r.predicted for r in evaluate.centroid_predictions(df.filter("vec_id < 20"), df.filter("vec_id >= 20"), ["e"]).collect()}
+    for e in "xyz":
+        own = df.filter(F.col("e") == e)
+        assert abs(evaluate.classification_scores(own.withColumn("predicted", F.col("cluster"))).first().macro_f1 - both[e].macro_f1) < 1e-12
+        assert abs(evaluate.clustering_scores(own).first().v_measure - clusters[e].v_measure) < 1e-12
+        single = evaluate.centroid_predictions(own.filter("vec_id < 20"), own.filter("vec_id >= 20")).collect()
+        assert {r.vec_id: r.predicted for r in single} == {i: p for (k, i), p in near.items() if k == e}
+
+
+def test_kmeans_and_logistic_on_separable_vectors(spark):
+    rows = [(i, i % 3, [10.0 * (i % 3 == j) + (i % 7) / 100 for j in range(3)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, vector array<double>")
+    assert evaluate.clustering_scores(evaluate.kmeans_clusters(df, 3)).first().v_measure == pytest.approx(1.0)
+    predicted = evaluate.logistic_predictions(df.filter("vec_id < 60"), df.filter("vec_id >= 60"))
+    assert evaluate.classification_scores(predicted).first().accuracy == 1.0
