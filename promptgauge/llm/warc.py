@@ -232,7 +232,7 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
             dictionary = trained_dictionary(first)
             packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdCompressor(level=3)
             path, count, size = f"{base}/{uuid.uuid4().hex}.warc.zst", 0, 0
-            with store.open_output_stream(path) as out:
+            with store.open_output_stream(path, compression=None) as out:
                 size += out.write(leading_frame(dictionary)) or 0
                 ended = True
                 for raw in first:
@@ -258,7 +258,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for path, records in zip(batch["path"].to_pylist(), batch["records"].to_pylist(), strict=True):
                 count, held, rows = 0, 0, []
-                with store.open_input_stream(path) as stream:
+                with store.open_input_stream(path, compression=None) as stream:
                     for found in read_records(stream):
                         count, held = count + 1, held + len(found["payload"] or b"")
                         rows.append(found)
