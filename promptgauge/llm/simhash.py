@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from promptgauge.llm.batches import per_text
 from promptgauge.llm.columns import id_and_text, same_columns
@@ -64,13 +64,14 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * set_in > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, sha: bool = False) -> DataFrame:
+    """``doc_id, fp``: the fingerprint as a signed long; with ``sha`` the text's SHA-256 between them."""
 
     def begin():
         return lambda texts: {"fp": np.array([fingerprint(t, shingle, seed) for t in texts], dtype="u8").astype("i8")}
 
-    return per_text(id_and_text(docs, id_col, text_col), begin, "fp long")
+    rows = id_and_text(docs, id_col, text_col)
+    return per_text(rows.withColumn("sha", _sha("text")) if sha else rows, begin, "fp long")
 
 
 def _masks(max_bits: int) -> np.ndarray:
@@ -151,23 +152,39 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return dealt.mapInPandas(settle, "a long, b long").distinct()
 
 
+def _components(named: DataFrame, max_bits: int) -> DataFrame:
+    """The rows of ``named(fp, ...)``, one per fingerprint, with the ``component`` of each; a component is named by a fingerprint."""
+    # fingerprints are the nodes: ids may be null or repeat
+    nodes = connected_components(links(named.select(F.col("fp").alias("node"), "fp"), max_bits))
+    return named.join(nodes.withColumnRenamed("text_id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, fingerprint`` (16 hex digits) and ``component_id``, the smallest id reachable."""
     found = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    named = written(found.groupBy("fp").agg(F.min("doc_id").alias("lowest")), "distinct")
-    # fingerprints are the nodes: ids may be null or repeat
-    nodes = connected_components(links(named.select(F.col("fp").alias("node"), "fp"), max_bits))
-    placed = named.join(nodes.withColumnRenamed("text_id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    placed = _components(written(found.groupBy("fp").agg(F.min("doc_id").alias("lowest")), "distinct"), max_bits)
     least = placed.groupBy("component").agg(F.min("lowest").alias("component_id"))
     by_print = placed.join(least, "component").select("fp", "component_id")
     return found.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _sha(text: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256))
+
+
 def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row with the smallest id of each group, all columns unchanged; of rows that repeat that id one stays."""
-    groups = simhash_groups(docs, shingle, max_bits, id_col, text_col)
-    stay = groups.filter("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("__n"))
-    found = docs.join(stay.withColumnRenamed("doc_id", "__id"), F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
-    one = Window.partitionBy("__id").orderBy("__n")
-    repeated = found.filter("__n > 1").withColumn("__at", F.row_number().over(one)).filter("__at = 1")
-    return same_columns(found.filter("__n = 1"), docs).unionByName(same_columns(repeated, docs))
+    """One row of each group, all columns unchanged: the smallest by id (null is the largest), then by digest of the text.
+
+    Rows are told apart by id and text, so rows of different groups may share an id or have none. Of rows
+    equal in both one stays, the first by its columns as JSON.
+    """
+    found = written(fingerprints(docs, shingle, id_col, text_col, sha=True), "fingerprints")
+    rows = found.groupBy("fp", "doc_id", "sha").agg(F.count("*").alias("n"))
+    lowest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha", "n")).alias("lowest")
+    placed = _components(written(rows.groupBy("fp").agg(lowest), "distinct"), max_bits)
+    stay = placed.groupBy("component").agg(F.min("lowest").alias("lowest"))
+    stay = stay.select(F.col("lowest.doc_id").alias("__id"), F.col("lowest.sha").alias("__sha"), F.col("lowest.n").alias("__n"))
+    joined = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (_sha(text_col) == F.col("__sha")))
+    one = Window.partitionBy("__id", "__sha").orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    repeated = joined.filter("__n > 1").withColumn("__at", F.row_number().over(one)).filter("__at = 1")
+    return same_columns(joined.filter("__n = 1"), docs).unionByName(same_columns(repeated, docs))

@@ -80,6 +80,29 @@ def test_one_stays(spark):
     assert sorted(map(repr, (r["doc_id"] for r in left.collect()))) == sorted(map(repr, groups))
 
 
+def test_rows_with_no_id_or_a_shared_id_stay_apart(spark):
+    texts = ["the first text is about rivers", "a second one tells of old bridges", "nothing of that sort stands in the third", "the fourth lists every tool in the shed"]
+    near = texts[0].upper()
+    assert len(components({plain_fingerprint(t) for t in texts})) == len({*components({plain_fingerprint(t) for t in texts}).values()}) == 4
+
+    def left(rows):
+        return sorted(map(repr, (tuple(r)[:2] for r in op.without_near_duplicates(documents(spark, rows)).collect())))
+
+    # no id at all: one row of each group stays; a row with an id goes before one without
+    found = left([(None, t) for t in texts] * 2 + [(None, near), (7, texts[3])])
+    assert len(found) == 4 and repr((7, texts[3])) in found and {repr((None, t)) for t in texts[1:3]} < set(found)
+    # one id for all texts
+    assert left([(5, t) for t in texts] * 2) == sorted(repr((5, t)) for t in texts)
+    # a shared id is the lowest in one group only: the other text with it is a near copy and goes
+    assert left([(5, texts[1]), (5, texts[0]), (2, near)]) == sorted(map(repr, [(5, texts[1]), (2, near)]))
+
+
+def test_the_row_kept_is_the_same_each_time(spark):
+    docs = spark.createDataFrame([(None, "one text", i % 7) for i in range(40)], "doc_id long, text string, size long")
+    for parts in (1, 3, 8):
+        assert [tuple(r) for r in op.without_near_duplicates(docs.repartition(parts)).collect()] == [(None, "one text", 0)]
+
+
 def test_empty_table(spark):
     docs = documents(spark, [])
     assert op.simhash_groups(docs).collect() == [] and op.without_near_duplicates(docs).collect() == []
