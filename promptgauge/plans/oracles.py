@@ -252,6 +252,16 @@ FROM tasked t JOIN answered a USING (request_id)""",
     ELSE prompt END || text AS shown FROM resolved)
 SELECT role, task, given AS prompt, count(*) AS n_texts, sum(length(shown))::BIGINT AS characters,
   sum(('0x' || substr(md5(shown), 1, 8))::BIGINT)::BIGINT AS digest_sum FROM shown GROUP BY 1, 2, 3""",
+    "experiment_prompts_o33": f"""WITH {_TEXTS}, {_EXPERIMENTS}, own AS (SELECT DISTINCT task, prompt FROM experiments WHERE NOT is_baseline)
+SELECT role, task, own.prompt, CASE WHEN prompt_type = 'document' THEN NULL ELSE own.prompt END AS resolved, count(*) AS n_texts
+FROM texts JOIN own USING (task) GROUP BY 1, 2, 3, 4""",
+    "experiment_texts_o34": f"""WITH {_TEXTS}, {_EXPERIMENTS}, own AS (
+  SELECT DISTINCT task, prompt, CASE WHEN nation % 2 = 0 THEN 'instruct' ELSE 'prefix' END AS wrapper FROM experiments WHERE NOT is_baseline),
+shown AS (
+  SELECT role, task, own.prompt, wrapper, CASE WHEN prompt_type = 'document' THEN '' WHEN wrapper = 'instruct' THEN 'Instruct: ' || own.prompt || chr(10) || 'Query: '
+    ELSE own.prompt END || text AS shown FROM texts JOIN own USING (task))
+SELECT role, task, prompt, wrapper, count(*) AS n_texts, sum(length(shown))::BIGINT AS characters,
+  sum(('0x' || substr(md5(shown), 1, 8))::BIGINT)::BIGINT AS digest_sum FROM shown GROUP BY 1, 2, 3, 4""",
     "effective_prompts_o35": f"""WITH {_EXPERIMENTS}, wrapped AS (
   SELECT *, CASE WHEN nation % 2 = 0 THEN 'instruct' ELSE 'prefix' END AS wrapper FROM experiments)
 SELECT model, task, experiment_id, wrapper, CASE WHEN task_class = 'Retrieval' THEN task || '-query' ELSE task END AS key, prompt FROM wrapped WHERE NOT is_baseline

@@ -262,6 +262,25 @@ def prompted_texts_o34(spark, sf):
     )
 
 
+def experiment_prompts_o33(spark, sf):
+    """Each text looks up its prompt in the map of every experiment of its task."""
+    prompts = written(t.experiment_prompts(spark, sf), "prompts").dropDuplicates(["task", "prompt"]).select("task", "prompt", "prompts")
+    joined = spread(t.texts(spark, sf).drop("text"), "text_id").join(prompts, "task")
+    found = runs.resolved_prompt(F.col("prompts"), F.col("task"), F.col("task_class"), F.col("prompt_type"))
+    return joined.groupBy("role", "task", "prompt", found.alias("resolved")).agg(F.count("*").alias("n_texts"))
+
+
+def experiment_texts_o34(spark, sf):
+    """Each text meets the prompt of every experiment of its task, as the model's wrapper shows it."""
+    joined = spread(t.texts(spark, sf), "text_id").join(written(t.experiment_prompts(spark, sf), "prompts"), "task")
+    prompt = runs.resolved_prompt(F.col("prompts"), F.col("task"), F.col("task_class"), F.col("prompt_type"))
+    shown = runs.prompted_text(F.col("text"), prompt, F.col("wrapper"), F.col("template"))
+    digest = F.conv(F.substring(F.md5(shown), 1, 8), 16, 10).cast("long")
+    return joined.groupBy("role", "task", "prompt", "wrapper").agg(
+        F.count("*").alias("n_texts"), F.sum(F.length(shown)).alias("characters"), F.sum(digest).alias("digest_sum")
+    )
+
+
 def _experiments(spark, sf):
     return runs.experiments_of(t.assigned_prompts(spark, sf))
 

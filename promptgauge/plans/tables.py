@@ -138,6 +138,17 @@ def task_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("task", "prompt", prompt_map(F.col("task"), kind, F.col("prompt")).alias("prompts"))
 
 
+def experiment_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``task, prompt, wrapper, template, prompts``: the prompt of every custom experiment, once per wrapper that runs it."""
+    every = (
+        assigned_prompts(spark, sf_dir)
+        .join(models(spark, sf_dir), "model")
+        .select("task", "task_class", F.col("generated_prompt").alias("prompt"), "wrapper", "template")
+        .distinct()
+    )
+    return every.select("task", "prompt", "wrapper", "template", prompt_map(F.col("task"), F.col("task_class"), F.col("prompt")).alias("prompts"))
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score fact from events; the baseline of a model and task is its first event."""
     events = table(spark, sf_dir, "events").select(

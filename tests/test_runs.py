@@ -122,3 +122,15 @@ def test_encode_and_score(spark):
     work = runs.in_chunks(spark.createDataFrame(pairs, "experiment string, left_text string, right_text string, gold double"), 3, ["gold"])
     got = encode_and_score(work, factory, 3, ["experiment"]).first()
     assert got.n_pairs == 9 and abs(got.spearman - 1) < 1e-9
+
+
+def test_every_experiments_prompt_is_applied(spark, sf):
+    from promptgauge.plans import queries, tables
+
+    models = tables.models(spark, sf).select("model", "wrapper")
+    assigned = tables.assigned_prompts(spark, sf).join(models, "model").select("task", F.col("generated_prompt").alias("prompt"), "wrapper").distinct()
+    of_texts = tables.texts(spark, sf).groupBy("role", "task").agg(F.count("*").alias("n_texts"))
+    wanted = of_texts.join(assigned, "task")
+    got = queries.experiment_texts_o34(spark, sf)
+    cols = ["role", "task", "prompt", "wrapper", "n_texts"]
+    assert wanted.count() and sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, wanted.select(cols).collect()))
