@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by inner product: robust-pruned directed graphs over shards.
 
-Distinct vectors are dealt at random, but repeatably, to shards of bounded size. For each shard one task builds a
+Distinct vectors are dealt at random, but repeatably, to shards of bounded size, each of vectors whose largest components
+are within a factor of 16; a few extreme vectors are so a small shard, which is met whole. For each shard one task builds a
 directed graph in batches: a greedy beam search over the graph so far proposes neighbours for each new
 vector, and relaxed distance pruning keeps a diverse few (a candidate goes when a kept neighbour is closer to it, by a
 factor, than the vector is). Links are made both ways and pruned again where they grow too many. The index is
@@ -8,7 +9,9 @@ written. Queries are dealt to blocks of bounded size, every block is beam-search
 query's best rows of all shards are ranked.
 
 Largest inner products are turned into smallest distances by one more component that gives all vectors of a
-shard the same length. Scores are inner products of the original vectors in double precision.
+shard the same length. All of it is in double precision: shards and queries are scaled by powers of two, so that no square
+overflows, pruning measures from the node, so that near copies are told apart, and a search ranks by the inner
+product alone. Scores are inner products of the original vectors.
 
 Equal vectors are one node with the smallest ``k + 1`` of its ids; no more can be among the k nearest of any
 query, so this loses nothing, and a vector that a third of all rows share is limited map-side before it is shuffled.
@@ -35,17 +38,15 @@ BATCH = 512
 ENTRIES = 64
 GATHERED = 96
 SEED = 3
+CLASS_BITS, CLASS_OFFSET = 4, 2
 
 
 class Graph:
     """The vectors of one shard with their links; -1 fills unused places of ``links``."""
 
     def __init__(self, vectors: np.ndarray, seed: int = SEED):
-        self.raw = vectors
         lengths = (vectors**2).sum(axis=1)
-        most = lengths.max(initial=0.0)
-        self.points = np.c_[vectors, np.sqrt(np.maximum(most - lengths, 0))].astype(np.float32)
-        self.most = np.float32(most)
+        self.points = np.c_[vectors, np.sqrt(np.maximum(lengths.max(initial=0.0) - lengths, 0))]
         self.links = np.full((len(vectors), DEGREE + SLACK), -1, dtype=np.int32)
         self.degree = np.zeros(len(vectors), dtype=np.int64)
         # several entries at random places: from a single one a dense group around it may offer no way out
@@ -77,27 +78,29 @@ class Graph:
         self.links[nodes, : chosen.shape[1]] = chosen
         self.degree[nodes] = (chosen >= 0).sum(axis=1)
 
-    def _distances(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Half the squared distances between rows of ``a`` and their rows of ``b``; all points are equally long."""
-        return self.most - np.matmul(b, a[:, :, None])[:, :, 0]
+    def _rows(self, most: int) -> int:
+        """Fewer rows at a time for vectors of many components."""
+        return max(8, min(most, most * 128 // self.points.shape[1]))
 
     def pruned(self, nodes: np.ndarray, candidates: np.ndarray) -> np.ndarray:
         """At most ``DEGREE`` diverse neighbours of each node out of its candidates, -1 where there are fewer."""
         chosen = np.full((len(nodes), DEGREE), -1, dtype=np.int32)
-        for i in range(0, len(nodes), 128):
-            chosen[i : i + 128] = self._pruned(nodes[i : i + 128], candidates[i : i + 128])
+        step = self._rows(128)
+        for i in range(0, len(nodes), step):
+            chosen[i : i + step] = self._pruned(nodes[i : i + step], candidates[i : i + step])
         return chosen
 
     def _pruned(self, nodes: np.ndarray, candidates: np.ndarray) -> np.ndarray:
         candidates = np.sort(candidates, axis=1)
         bad = (candidates < 0) | (candidates == nodes[:, None])
         bad[:, 1:] |= candidates[:, 1:] == candidates[:, :-1]
-        near = self.points[candidates]
-        far = np.where(bad, np.inf, self._distances(self.points[nodes], near))
+        near = self.points[candidates] - self.points[nodes][:, None]  # as seen from the node
+        far = np.where(bad, np.inf, (near**2).sum(axis=2) / 2)
         order = np.argsort(far, axis=1, kind="stable")[:, :GATHERED]
         far, candidates = np.take_along_axis(far, order, 1), np.take_along_axis(candidates, order, 1)
         near = np.take_along_axis(near, order[:, :, None], 1)
-        between = self.most - np.matmul(near, near.transpose(0, 2, 1))
+        half = (near**2).sum(axis=2) / 2
+        between = half[:, :, None] + half[:, None] - np.matmul(near, near.transpose(0, 2, 1))
         alive, count = np.isfinite(far), np.zeros(len(nodes), dtype=np.int64)
         out, rows = np.full((len(nodes), DEGREE), -1, dtype=np.int32), np.arange(len(nodes))
         for j in range(far.shape[1]):
@@ -135,17 +138,18 @@ class Graph:
     # searching
 
     def beam_search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """For points with the extra component: the best nodes met, nearest first, and their distances."""
-        found, far = np.empty((len(queries), beam), np.int64), np.empty((len(queries), beam), np.float32)
-        for i in range(0, len(queries), BATCH):
-            found[i : i + BATCH], far[i : i + BATCH] = self._beam(queries[i : i + BATCH], beam)
+        """For points with the extra component: the best nodes met, nearest first, and their negative inner products."""
+        found, far = np.empty((len(queries), beam), np.int64), np.empty((len(queries), beam))
+        step = self._rows(BATCH)
+        for i in range(0, len(queries), step):
+            found[i : i + step], far[i : i + step] = self._beam(queries[i : i + step], beam)
         return found, far
 
     def _beam(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(queries)
-        nodes, far = np.full((n, beam), -1, dtype=np.int64), np.full((n, beam), np.inf, dtype=np.float32)
+        nodes, far = np.full((n, beam), -1, dtype=np.int64), np.full((n, beam), np.inf)
         seen, open_ = np.zeros((n, len(self.points)), dtype=bool), np.zeros((n, beam), dtype=bool)
-        first = self.most - queries @ self.points[self.entries].T
+        first = -(queries @ self.points[self.entries].T)
         rank, many = np.argsort(first, axis=1, kind="stable")[:, :beam], min(beam, len(self.entries))
         nodes[:, :many], far[:, :many] = self.entries[rank], np.take_along_axis(first, rank, 1)
         open_[:, :many], seen[:, self.entries] = True, True
@@ -167,7 +171,7 @@ class Graph:
                 keep = np.argsort(~fresh, axis=1, kind="stable")[:, :width]
                 met, fresh = np.take_along_axis(met, keep, 1), np.take_along_axis(fresh, keep, 1)
                 seen[np.broadcast_to(active[:, None], met.shape)[fresh], met[fresh]] = True
-                new = np.where(fresh, self._distances(queries[active], self.points[met]), np.inf)
+                new = np.where(fresh, -np.matmul(self.points[met], queries[active][:, :, None])[:, :, 0], np.inf)
                 all_far = np.c_[far[active], new]
                 best = np.argsort(all_far, axis=1, kind="stable")[:, :beam]
                 far[active] = np.take_along_axis(all_far, best, 1)
@@ -180,7 +184,7 @@ class Graph:
         """Node numbers for original query vectors, -1 where fewer are met. A shard not much larger than the beam is met whole."""
         if len(self.points) <= 2 * beam:
             return np.tile(np.arange(len(self.points)), (len(queries), 1))
-        return self.beam_search(np.c_[queries, np.zeros(len(queries))].astype(np.float32), beam)[0]
+        return self.beam_search(np.c_[queries, np.zeros(len(queries))], beam)[0]
 
 
 def usable(vector: Column) -> Column:
@@ -194,7 +198,13 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy().reshape(len(flat), -1)
 
 
-_KEY = ["dims", "shard"]
+def _scaled(vectors: np.ndarray, axis: int | None = None) -> np.ndarray:
+    """Divided by a power of two, so that the largest component of all, or of each row, is from a half to one."""
+    most = np.abs(vectors).max(axis=axis, keepdims=True, initial=0.0)
+    return np.ldexp(vectors, -np.frexp(most)[1])
+
+
+_KEY = ["dims", "size_class", "shard"]
 
 
 def participants(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -204,26 +214,29 @@ def participants(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
 
 def built_index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> DataFrame:
-    """The written index over :func:`participants`: ``dims, shard, node, ids, vector, links``, node numbers by shard."""
+    """The written index over :func:`participants`: ``dims, size_class, shard, node, ids, vector, links``, node numbers by shard."""
     equal = Window.partitionBy("vector").orderBy("vec_id")
     few = rows.withColumn("nth", F.row_number().over(equal)).filter(F.col("nth") <= k + 1)
     nodes = few.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    nodes = written(nodes.withColumn("dims", F.size("vector")), "nodes")
-    shards = max(1, -(-nodes.count() // shard_rows))
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.col("ids")[0]), F.lit(shards)).cast("int"))
+    largest = F.log2(F.array_max(F.transform("vector", F.abs)))
+    size_class = F.floor((largest + CLASS_OFFSET) / CLASS_BITS).cast("int")
+    nodes = written(nodes.withColumns({"dims": F.size("vector"), "size_class": size_class}), "nodes")
+    counts = nodes.groupBy("dims", "size_class").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
+    dealt = nodes.join(written(counts, "counts"), ["dims", "size_class"])
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.col("ids")[0]), F.col("shards")).cast("int")).drop("shards")
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
         first = np.array([i[0] for i in table["ids"].to_pylist()])
         table = table.take(np.argsort(first))  # so that the same rows give the same graph
-        graph = Graph(_matrix(table["vector"]), seed)
+        graph = Graph(_scaled(_matrix(table["vector"])), seed)
         graph.build()
         links = [row[row >= 0].tolist() for row in graph.links]
         return pa.Table.from_arrays(
-            [table["dims"], table["shard"], pa.array(np.arange(len(table), dtype="i4")), table["ids"], table["vector"], pa.array(links, pa.list_(pa.int32()))],
-            names=["dims", "shard", "node", "ids", "vector", "links"],
+            [*(table[c] for c in _KEY), pa.array(np.arange(len(table), dtype="i4")), table["ids"], table["vector"], pa.array(links, pa.list_(pa.int32()))],
+            names=[*_KEY, "node", "ids", "vector", "links"],
         )
 
-    schema = "dims int, shard int, node int, ids array<long>, vector array<double>, links array<int>"
+    schema = "dims int, size_class int, shard int, node int, ids array<long>, vector array<double>, links array<int>"
     return written(dealt.groupBy(*_KEY).applyInArrow(build, schema), "index")
 
 
@@ -231,9 +244,9 @@ def searched(index: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, blo
     """``query_id, rank, vec_id, score`` for ``queries(vec_id, vector)``, its own id left out."""
     queries = written(queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), F.size("vector").alias("dims")), "queries")
     blocks = max(1, -(-queries.count() // block_queries))
-    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
+    shards = written(index.select(*_KEY).distinct(), "shards")
     asked = queries.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "query_id"), F.lit(blocks)).cast("int"))
-    asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    asked = asked.join(shards, "dims")
     held = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -241,14 +254,15 @@ def searched(index: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, blo
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(nodes) and len(block):
             nodes = nodes.sort_by("node")
-            graph = Graph(_matrix(nodes["vector"]), seed)
+            raw = _matrix(nodes["vector"])
+            graph = Graph(_scaled(raw), seed)
             for i, row in enumerate(nodes["links"].to_pylist()):
                 graph.links[i, : len(row)] = row
             ids = nodes["ids"].to_pylist()
             vectors, names = _matrix(block["query"]), block["query_id"].to_numpy()
-            for name, vector, met in zip(names, vectors, graph.search(vectors, beam), strict=True):
+            for name, vector, met in zip(names, vectors, graph.search(_scaled(vectors, 1), beam), strict=True):
                 met = met[met >= 0]
-                scores = (graph.raw[met] * vector).sum(axis=1)
+                scores = (raw[met] * vector).sum(axis=1)
                 found = [(s, i) for m, s in zip(met.tolist(), scores.tolist(), strict=True) for i in ids[m] if i != name]
                 found.sort(key=lambda f: (-f[0], f[1]))
                 best = found[:k]

@@ -68,6 +68,22 @@ def test_recall_with_dense_and_equal_groups(spark, shard_rows):
     assert recall(found, brute(rows, 20, 20)) >= 0.95
 
 
+@pytest.mark.parametrize("size", [3e3, 1e25])
+def test_recall_beside_extreme_lengths(spark, size):
+    rng = np.random.default_rng(6)
+    v = rng.normal(0, 1, (1500, 16))
+    v[[3, 700, 1100]] *= size
+    rows = [(i, x) for i, x in enumerate(v.astype(np.float32).tolist())]
+    assert recall(op.nearest_neighbours(table(spark, rows)).collect(), brute(rows, 20, 20)) >= 0.97
+
+
+def test_recall_among_very_near_copies(spark):
+    rng = np.random.default_rng(7)
+    v = np.r_[rng.normal(0, 1, (600, 16)), rng.normal(0, 1, 16) + rng.normal(0, 1e-4, (900, 16))].astype(np.float32)
+    rows = [(i, x) for i, x in enumerate(v[rng.permutation(len(v))].tolist())]
+    assert recall(op.nearest_neighbours(table(spark, rows)).collect(), brute(rows, 20, 20)) >= 0.97
+
+
 def test_query_blocks_and_registered_recall(spark, sf):
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = op.participants(vectors)
