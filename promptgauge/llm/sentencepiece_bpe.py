@@ -1,18 +1,21 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding back to the very same text.
 
 Encoding starts from characters and takes candidate merges from an agenda, best score first and leftmost on
-ties, as the merge-type model prescribes. Before a merge is made, a hash keyed by the seed, the text's variant,
-the piece and the place decides whether it is skipped for good. The same seed gives the same pieces; other seeds and
-variants give other segmentations. A dropout of 0 gives the model's own segmentation.
+ties, as the merge-type model prescribes. Before a merge is made, a hash keyed by the seed, the document, the place
+of the chunk in the text, the piece and the place in the chunk decides whether it is skipped for good. The same seed
+gives the same pieces; another seed, document or place in the text gives another segmentation. A dropout of 0 gives
+the model's own segmentation.
 
 Spaces become the model's space mark, and one mark leads the text. Characters the model does not know,
 and a literal space mark in the text, are spelled in bytes, so decoding always returns the text.
 
 No piece of such a model has a space mark after another character; texts are therefore cut before each run of
-spaces and each distinct chunk is merged once per variant and task, within a bounded cache.
+spaces. The merges of each distinct chunk without dropout are kept in a bounded cache; for every occurrence each of
+them is drawn, and only where one is skipped is the chunk merged anew.
 
-Defined results: null and empty texts have no pieces and decode to the empty text. The variant is a hash of
-the id, that of a null id included; equal ids have equal variants. An empty table gives an empty table.
+Defined results: null and empty texts have no pieces and decode to the empty text. A document is its id, null
+included, and its text; rows equal in both have equal pieces. The variant is a hash of the id that stands beside
+the result and takes no part in the draw. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import sentencepiece
@@ -38,6 +42,7 @@ CACHE_CHUNKS = 800_000
 LONGEST_CACHED = 40
 SHORT = 80
 TOGETHER = 50_000
+AT_ONCE = 200_000
 _CHUNK = re.compile(" *[^ ]+| +")
 _LAST = 1 << 40
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
@@ -98,15 +103,36 @@ class MergeModel:
 
     def skipped(self, key: int, piece, place, left):
         """Whether the merge to ``piece`` at ``place``, from a left part of ``left`` characters, is dropped. For arrays."""
-        mixed = piece.astype(np.uint64) * _MIX[0] + place.astype(np.uint64) * _MIX[1] + left.astype(np.uint64) * _MIX[2] ^ np.uint64(key)
-        mixed = mixed * _MIX[3]
-        return ((mixed ^ mixed >> np.uint64(29)) * _MIX[4] >> np.uint64(40)).astype(np.int64) < self.limit
+        return self._drawn(self._named(piece, place, left), np.uint64(key))
+
+    @staticmethod
+    def _named(piece, place, left):
+        """A merge as a number, to be drawn with the key of a chunk."""
+        return piece.astype(np.uint64) * _MIX[0] + place.astype(np.uint64) * _MIX[1] + left.astype(np.uint64) * _MIX[2]
 
-    def key(self, variant: int) -> int:
-        return zlib.crc32(f"{self.seed}/{variant}".encode()) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+    def _drawn(self, named, key):
+        mixed = (named ^ key) * _MIX[3]
+        return ((mixed ^ mixed >> np.uint64(29)) * _MIX[4] >> np.uint64(40)).astype(np.int64) < self.limit
 
-    def merged_together(self, chunks: list[str], key: int) -> list[bytes]:
-        """The ids of many chunks whose spaces are marks. Each round settles the best candidate of every chunk's agenda."""
+    def key(self, document: int) -> int:
+        return zlib.crc32(f"{self.seed}/{document}".encode()) * 0x100000001B3 + document & 0xFFFFFFFFFFFFFFFF
+
+    def keys(self, documents: list[int], counts: list[int]) -> np.ndarray:
+        """The key of each chunk of the documents, of which they have so many."""
+        many = np.array(counts, dtype=np.int64)
+        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        mixed = np.repeat(np.array([self.key(d) for d in documents], dtype=np.uint64), many) + (place.astype(np.uint64) + np.uint64(1)) * _MIX[0]
+        mixed = (mixed ^ mixed >> np.uint64(30)) * _MIX[3]
+        mixed = (mixed ^ mixed >> np.uint64(27)) * _MIX[4]
+        return mixed ^ mixed >> np.uint64(31)
+
+    def merged_together(self, chunks: list[str], key: int | np.ndarray, made: list | None = None) -> list[bytes]:
+        """The ids of many chunks whose spaces are marks, with one key or one for each.
+
+        Each round settles the best candidate of every chunk's agenda. With a list for ``made`` no merge is
+        skipped, and the list gets the chunk and the number of all merges, round by round.
+        """
+        key = np.broadcast_to(np.asarray(key, dtype=np.uint64), len(chunks))
         sizes = np.array([len(c) for c in chunks], dtype=np.int64)
         chars = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4").astype(np.int64)
         symbol = np.where(self.of_char[chars] >= 0, self.of_char[chars], -1 - chars)  # unknown characters are negative
@@ -126,8 +152,10 @@ class MergeModel:
                 best, counts = best[best != _LAST], counts[best != _LAST]
             at = np.nonzero(rank == np.repeat(best, counts))[0]
             at = at[np.r_[True, owner[at[1:]] != owner[at[:-1]]][: len(at)]]  # the leftmost of each chunk
-            if self.limit:
-                drop = self.skipped(key, piece[at], place[at], self.length[symbol[at]])
+            if made is not None:
+                made.append((owner[at], self._named(piece[at], place[at], self.length[symbol[at]])))
+            elif self.limit:
+                drop = self.skipped(key[owner[at]], piece[at], place[at], self.length[symbol[at]])
                 rank[at[drop]] = _LAST
                 at = at[~drop]
             symbol[at] = piece[at]
@@ -190,43 +218,58 @@ class MergeModel:
         found: list[int | str] = []
         for i, part in enumerate(chunk.split(MARK)):
             found += [MARK] * (i > 0)
-            found += [self.number.get(p, p) for p in self.merged(part.replace(" ", MARK), key)] if part else []
+            own = key + i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF  # equal parts are drawn each for itself
+            found += [self.number.get(p, p) for p in self.merged(part.replace(" ", MARK), own)] if part else []
         return self._spelled(found)
 
-    def all_ids(self, chunks: list[str], key: int) -> dict[str, bytes]:
-        """The ids of distinct chunks of source text."""
-        found, plain = {}, []
-        for c in chunks:
-            if len(c) <= SHORT and MARK not in c:
-                plain.append(c)
-            else:
-                found[c] = self.ids(c, key)
-        for i in range(0, len(plain), TOGETHER):
-            part = plain[i : i + TOGETHER]
-            found.update(zip(part, self.merged_together([c.replace(" ", MARK) for c in part], key), strict=True))
-        return found
+    def undropped(self, chunks: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """The ids of chunks without dropout, and the numbers of the merges that make them."""
+        ids, merges = [], []
+        for i in range(0, len(chunks), TOGETHER):
+            part, made = chunks[i : i + TOGETHER], []
+            ids += self.merged_together([c.replace(" ", MARK) for c in part], 0, made)
+            owner, named = (np.concatenate([m[j] for m in made] or [np.array([], kind)]) for j, kind in enumerate((np.int64, np.uint64)))
+            raw, ends = named[np.argsort(owner, kind="stable")].tobytes(), 8 * np.cumsum(np.bincount(owner, minlength=len(part)))
+            merges += [raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+        return ids, merges
 
     def encoder(self) -> Callable[[list[str], list[int]], list[np.ndarray]]:
-        """Encodes texts, each in its variant."""
-        caches: dict[int, dict[str, bytes]] = {}
+        """Encodes texts, each with the number of its document."""
+        ids_of: dict[str, bytes] = {}
+        merges_of: dict[str, bytes] = {}
+
+        def some(chunks: list[str], keys: np.ndarray) -> list[bytes]:
+            if len(ids_of) > CACHE_CHUNKS:
+                ids_of.clear()
+                merges_of.clear()
+            missing = sorted(c for c in set(chunks).difference(ids_of) if len(c) <= SHORT and MARK not in c)
+            ids, merges = self.undropped(missing)
+            ids_of.update(zip(missing, ids, strict=True))
+            merges_of.update(zip(missing, merges, strict=True))
+            found = list(map(ids_of.get, chunks))
+            if self.limit:
+                drawn = [merges_of.get(c, b"") for c in chunks]
+                counts = np.fromiter(map(len, drawn), np.int64, len(drawn)) // 8
+                owner = np.repeat(np.arange(len(chunks)), counts)
+                skipped = owner[self._drawn(np.frombuffer(b"".join(drawn), np.uint64), keys[owner])]
+                again = skipped[np.r_[True, skipped[1:] != skipped[:-1]][: len(skipped)]]
+                for i in range(0, len(again), TOGETHER):
+                    at = again[i : i + TOGETHER]
+                    for k, new in zip(at.tolist(), self.merged_together([chunks[k].replace(" ", MARK) for k in at.tolist()], keys[at]), strict=True):
+                        found[k] = new
+            for k in (k for k, ids in enumerate(found) if ids is None):  # long, or with a literal mark
+                found[k] = self.ids(chunks[k], int(keys[k]))
+            for c in (c for c in missing if len(c) > LONGEST_CACHED):
+                del ids_of[c], merges_of[c]
+            return found
 
-        def encode(texts: list[str], variants: list[int]) -> list[np.ndarray]:
-            if sum(map(len, caches.values())) > CACHE_CHUNKS:
-                caches.clear()
+        def encode(texts: list[str], documents: list[int]) -> list[np.ndarray]:
             cuts = [_CHUNK.findall(" " + t) if t else [] for t in texts]
-            now: dict[int, dict[str, bytes]] = {}
-            for v in set(variants):
-                cache = caches.setdefault(v, {})
-                missing = set().union(*(c for c, w in zip(cuts, variants, strict=True) if w == v)).difference(cache)
-                fresh = self.all_ids(sorted(missing), self.key(v))
-                cache.update((c, i) for c, i in fresh.items() if len(c) <= LONGEST_CACHED)
-                now[v] = {c: i for c, i in fresh.items() if len(c) > LONGEST_CACHED}
-            found = []
-            for cut, v in zip(cuts, variants, strict=True):
-                cache, long = caches[v], now[v]
-                ids = b"".join([long[c] if c in long else cache[c] for c in cut] if long else map(cache.__getitem__, cut))
-                found.append(np.frombuffer(ids, "<u4"))
-            return found
+            counts = list(map(len, cuts))
+            chunks, keys = list(chain.from_iterable(cuts)), self.keys(documents, counts)
+            found = [i for k in range(0, len(chunks), AT_ONCE) for i in some(chunks[k : k + AT_ONCE], keys[k : k + AT_ONCE])]
+            ends = np.cumsum(counts).tolist()
+            return [np.frombuffer(b"".join(found[j - n : j]), "<u4") for j, n in zip(ends, counts, strict=True)]
 
         return encode
 
@@ -234,15 +277,22 @@ class MergeModel:
         return b"".join(map(self.shown.__getitem__, ids.tolist()))[1:].decode("utf-8")
 
 
+def _numbered(docs: DataFrame, variants: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text, variant`` and ``document``, the number that tells documents apart in the draw."""
+    texts = id_and_text(docs, id_col, text_col)
+    variant = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(variants))
+    return texts.withColumns({"variant": variant, "document": F.xxhash64("doc_id", "text")})
+
+
 def encoded(docs: DataFrame, model_path: str, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, variant, ids`` (an array of ids) for every row."""
-    texts = id_and_text(docs, id_col, text_col).withColumn("variant", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(variants)))
+    texts = _numbered(docs, variants, seed, id_col, text_col)
 
     def begin():
         encode = MergeModel(model_path, dropout, seed).encoder()
-        return lambda texts, variants: {"variant": variants, "ids": encode(texts, variants)}
+        return lambda texts, documents: {"ids": encode(texts, documents)}
 
-    return per_row(texts, begin, "variant long, ids array<int>", "text", "variant")
+    return per_row(texts, begin, "ids array<int>", "text", "document")
 
 
 def decoded(rows: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
@@ -263,7 +313,7 @@ def round_trips(docs: DataFrame, model_path: str, dropout: float = DROPOUT, vari
 
     ``text_sha256`` is that of the decoded text.
     """
-    texts = id_and_text(docs, id_col, text_col).withColumn("variant", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(variants)))
+    texts = _numbered(docs, variants, seed, id_col, text_col)
 
     def begin():
         import hashlib
@@ -271,9 +321,9 @@ def round_trips(docs: DataFrame, model_path: str, dropout: float = DROPOUT, vari
         model = MergeModel(model_path, dropout, seed)
         encode = model.encoder()
 
-        def work(texts: list[str], variants: list[int]) -> dict:
-            made = {"variant": variants, "n_pieces": [], "ids_crc32": [], "text_sha256": [], "lossless": []}
-            for text, ids in zip(texts, encode(texts, variants), strict=True):
+        def work(texts: list[str], documents: list[int]) -> dict:
+            made = {"n_pieces": [], "ids_crc32": [], "text_sha256": [], "lossless": []}
+            for text, ids in zip(texts, encode(texts, documents), strict=True):
                 back = model.decode(ids)
                 made["n_pieces"].append(len(ids))
                 made["ids_crc32"].append(zlib.crc32(ids.tobytes()))
@@ -283,4 +333,4 @@ def round_trips(docs: DataFrame, model_path: str, dropout: float = DROPOUT, vari
 
         return work
 
-    return per_row(texts, begin, "variant long, n_pieces long, ids_crc32 long, text_sha256 string, lossless boolean", "text", "variant")
+    return per_row(texts, begin, "n_pieces long, ids_crc32 long, text_sha256 string, lossless boolean", "text", "document")

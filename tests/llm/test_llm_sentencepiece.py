@@ -41,6 +41,30 @@ def test_together_is_one_by_one(texts):
     assert model.merged_together(chunks, key) == [model.ids(c, key) for c in chunks]
 
 
+def test_repeated_words_are_cut_in_several_ways():
+    word, model = "internationalization", op.MergeModel(PATH, 0.3)
+    assert len({tuple(model.merged(op.MARK + word, k)) for k in map(model.key, range(300))}) > 8
+    ids = model.encoder()([f"{word} " * 300, f"{word} " * 300], [1, 2])
+    assert [model.decode(i) for i in ids] == [f"{word} " * 300] * 2 and ids[0].tolist() != ids[1].tolist()
+    cut = {tuple(p for p in w.split("|")) for w in "|".join(model.shown[i].decode() for i in ids[0].tolist()).split(" ")}
+    assert len(cut) > 8
+
+
+def test_encoder_is_each_chunk_by_its_key(texts):
+    model = op.MergeModel(PATH, 0.2)
+    documents = [i * 7919 - 5 for i in range(len(texts))]
+    cuts = [op._CHUNK.findall(" " + t) if t else [] for t in texts]
+    keys = iter(model.keys(documents, list(map(len, cuts))).tolist())
+    expected = [b"".join(model.ids(c, next(keys)) for c in cut) for cut in cuts]
+    assert [i.tobytes() for i in model.encoder()(texts, documents)] == expected
+
+
+def test_documents_are_drawn_each_for_itself(spark):
+    text = "internationalization of representative institutions " * 3
+    found = op.encoded(documents(spark, [(i, text) for i in range(60)] + [(1, text)]), PATH).collect()
+    assert len({tuple(r["ids"]) for r in found}) > 8 and len({tuple(r["ids"]) for r in found if r["doc_id"] == 1}) == 1
+
+
 def test_full_dropout_leaves_characters():
     model = op.MergeModel(PATH, 1.0)
     assert [len(i) for i in model.encoder()(["abc de"], [0])] == [7]
