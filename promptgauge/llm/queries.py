@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from promptgauge.llm.best_fit import best_fit_packed
 from promptgauge.llm.exact_dedup import exact_duplicates
 from promptgauge.llm.graph_search import nearest_neighbours
 from promptgauge.llm.licenses import license_scan
@@ -14,9 +15,11 @@ from promptgauge.llm.packing import packed_documents
 from promptgauge.llm.pii import KINDS, identifiers, span_text
 from promptgauge.llm.sentencepiece_bpe import round_trips
 from promptgauge.llm.simhash import simhash_groups
+from promptgauge.llm.spelling import spelling_forms
 from promptgauge.llm.toxicity import toxicity
 from promptgauge.llm.url_filter import judged_urls
 from promptgauge.llm.warc import archived
+from promptgauge.llm.whitening import whitened
 
 #: Fixed by the contract of op6.
 URL_RULES = [
@@ -80,5 +83,18 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_groups(_table(spark, sf, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_forms(_table(spark, sf, "documents"))
+
+
+def op12_best_fit(spark: SparkSession, sf: str) -> DataFrame:
+    return best_fit_packed(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False).drop("ids")
+
+
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    found = whitened(_table(spark, sf, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
