@@ -198,7 +198,8 @@ def near_words(vocabulary: DataFrame, together: int = TOGETHER, most: int = MOST
         counted = [[counts[w] for w in side] for side in (left, right)]
         return pa.table({"word": pa.array(left, pa.string()), "n": pa.array(counted[0], pa.int64()), "near": pa.array(right, pa.string()), "near_n": pa.array(counted[1], pa.int64())})
 
-    return dealt.groupBy("side", "part", "crossed").applyInArrow(compose, "word string, n long, near string, near_n long")
+    # light in bytes and heavy in work: a number of tasks that adaptive execution doesn't fold together
+    return dealt.repartition(2 * tasks, "side", "part", "crossed").groupBy("side", "part", "crossed").applyInArrow(compose, "word string, n long, near string, near_n long")
 
 
 def roots(forms: DataFrame) -> DataFrame:
