@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +18,20 @@ SLICE_CHARS = 8_000_000
 Columns = dict[str, object]
 
 
+def per_process[T](kind: str, path: str, settings: tuple, make: Callable[[], T]) -> T:
+    """What ``make`` makes of a file, made once in a Python worker process and used by all its tasks.
+
+    Functions reach the workers by value, so no module of this package lives there; this one is made in each process.
+    """
+    held = vars(sys.modules.setdefault("promptgauge_kept", types.ModuleType("promptgauge_kept")))
+    name = repr((kind, path, os.stat(path).st_mtime_ns, settings))
+    if name not in held:
+        for other in [k for k in held if k.startswith(f"('{kind}',")]:
+            del held[other]  # one of a kind, so that memory stays bounded
+        held[name] = make()
+    return held[name]
+
+
 def sliced(texts: list[str], most: int = SLICE_CHARS) -> Iterator[slice]:
     """Runs of texts of a bounded number of characters (a longer text is a run of its own)."""
     start = held = 0

@@ -10,8 +10,8 @@ Spaces become the model's space mark, and one mark leads the text. Characters th
 and a literal space mark in the text, are spelled in bytes, so decoding always returns the text.
 
 No piece of such a model has a space mark after another character; texts are therefore cut before each run of
-spaces. The merges of each distinct chunk without dropout are kept in a bounded cache; for every occurrence each of
-them is drawn, and only where one is skipped is the chunk merged anew.
+spaces. The merges of each distinct chunk without dropout are kept in a bounded cache, one per worker process; for
+every occurrence each of them is drawn, and only where one is skipped is the chunk merged anew.
 
 Defined results: null and empty texts have no pieces and decode to the empty text. A document is its id, null
 included, and its text; rows equal in both have equal pieces. The variant is a hash of the id that stands beside
@@ -25,13 +25,13 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from promptgauge.llm.batches import per_row, per_text
+from promptgauge.llm.batches import per_process, per_row
 from promptgauge.llm.columns import id_and_text
 
 MARK = "▁"
@@ -39,7 +39,6 @@ DROPOUT = 0.1
 VARIANTS = 8
 SEED = 5
 CACHE_CHUNKS = 800_000
-LONGEST_CACHED = 40
 SHORT = 80
 TOGETHER = 50_000
 AT_ONCE = 200_000
@@ -48,6 +47,37 @@ _LAST = 1 << 40
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 
 
+class Rows:
+    """Rows of values of different lengths, one behind the other; they are added at the end and gathered by number."""
+
+    def __init__(self, kind: type):
+        self.flat, self.sizes = np.empty(0, kind), np.empty(0, np.int64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.used = self.count = 0
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        for name, new, held in (("flat", flat, self.used), ("sizes", sizes, self.count)):
+            old = getattr(self, name)
+            if held + len(new) > len(old):
+                grown = np.empty(2 * (held + len(new)), old.dtype)
+                grown[:held] = old[:held]
+                setattr(self, name, grown)
+            getattr(self, name)[held : held + len(new)] = new
+        self.used += len(flat)
+        self.count += len(sizes)
+
+    def gathered(self, at: np.ndarray, more: Rows | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of these numbers, one behind the other, and their sizes; the rows of ``more`` are numbered on."""
+        flat, sizes = self.flat[: self.used], self.sizes[: self.count]
+        if more is not None:
+            flat, sizes = np.r_[flat, more.flat[: more.used]], np.r_[sizes, more.sizes[: more.count]]
+        starts, wanted = np.cumsum(sizes) - sizes, sizes[at]
+        before = np.cumsum(wanted) - wanted
+        return flat[np.repeat(starts[at] - before, wanted) + np.arange(wanted.sum())], wanted
+
+
 class MergeModel:
     """The vocabulary of a merge-type model, its encoder and its decoder."""
 
@@ -126,8 +156,8 @@ class MergeModel:
         mixed = (mixed ^ mixed >> np.uint64(27)) * _MIX[4]
         return mixed ^ mixed >> np.uint64(31)
 
-    def merged_together(self, chunks: list[str], key: int | np.ndarray, made: list | None = None) -> list[bytes]:
-        """The ids of many chunks whose spaces are marks, with one key or one for each.
+    def merged_rows(self, chunks: list[str], key: int | np.ndarray, made: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many chunks whose spaces are marks, one behind the other, and how many each has; with one key or one for each.
 
         Each round settles the best candidate of every chunk's agenda. With a list for ``made`` no merge is
         skipped, and the list gets the chunk and the number of all merges, round by round.
@@ -171,12 +201,20 @@ class MergeModel:
         owners, symbols = (np.concatenate([d[j] for d in done] or [np.array([], np.int64)]) for j in (0, 1))
         order = np.argsort(owners, kind="stable")
         owners, symbols = owners[order], symbols[order]
-        raw, ends = symbols.astype("<u4").tobytes(), np.cumsum(np.bincount(owners, minlength=len(chunks)))
-        starts = np.r_[0, ends[:-1]]
-        found = [raw[i:j] for i, j in zip((starts * 4).tolist(), (ends * 4).tolist(), strict=True)]
-        for i in np.unique(owners[symbols < 0]).tolist():
-            found[i] = self._spelled([s if s >= 0 else chr(-1 - s) for s in symbols[starts[i] : ends[i]].tolist()])
-        return found
+        unknown = np.nonzero(symbols < 0)[0]
+        if len(unknown):
+            spelled = [[self.of_byte[b] for b in chr(-1 - c).encode()] for c in symbols[unknown].tolist()]
+            times = np.ones(len(symbols), dtype=np.int64)
+            times[unknown] = list(map(len, spelled))
+            bytes_at = np.repeat(symbols < 0, times)
+            owners, symbols = np.repeat(owners, times), np.repeat(symbols, times)
+            symbols[bytes_at] = list(chain.from_iterable(spelled))
+        return symbols.astype("<u4"), np.bincount(owners, minlength=len(chunks))
+
+    def merged_together(self, chunks: list[str], key: int | np.ndarray) -> list[bytes]:
+        """The ids of many chunks, each as 32-bit values."""
+        flat, sizes = self.merged_rows(chunks, key)
+        return [part.tobytes() for part in np.split(flat, np.cumsum(sizes)[:-1])]
 
     def _spelled(self, symbols: list[int | str]) -> bytes:
         """Ids of pieces by number; characters that are no piece in bytes."""
@@ -222,54 +260,54 @@ class MergeModel:
             found += [self.number.get(p, p) for p in self.merged(part.replace(" ", MARK), own)] if part else []
         return self._spelled(found)
 
-    def undropped(self, chunks: list[str]) -> tuple[list[bytes], list[bytes]]:
-        """The ids of chunks without dropout, and the numbers of the merges that make them."""
-        ids, merges = [], []
+    def undropped(self, chunks: list[str], ids: Rows, merges: Rows) -> None:
+        """Adds the ids of chunks without dropout, and the numbers of the merges that make them."""
         for i in range(0, len(chunks), TOGETHER):
             part, made = chunks[i : i + TOGETHER], []
-            ids += self.merged_together([c.replace(" ", MARK) for c in part], 0, made)
+            ids.add(*self.merged_rows([c.replace(" ", MARK) for c in part], 0, made))
             owner, named = (np.concatenate([m[j] for m in made] or [np.array([], kind)]) for j, kind in enumerate((np.int64, np.uint64)))
-            raw, ends = named[np.argsort(owner, kind="stable")].tobytes(), 8 * np.cumsum(np.bincount(owner, minlength=len(part)))
-            merges += [raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
-        return ids, merges
+            merges.add(named[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(part)))
 
     def encoder(self) -> Callable[[list[str], list[int]], list[np.ndarray]]:
         """Encodes texts, each with the number of its document."""
-        ids_of: dict[str, bytes] = {}
-        merges_of: dict[str, bytes] = {}
-
-        def some(chunks: list[str], keys: np.ndarray) -> list[bytes]:
-            if len(ids_of) > CACHE_CHUNKS:
-                ids_of.clear()
-                merges_of.clear()
-            missing = sorted(c for c in set(chunks).difference(ids_of) if len(c) <= SHORT and MARK not in c)
-            ids, merges = self.undropped(missing)
-            ids_of.update(zip(missing, ids, strict=True))
-            merges_of.update(zip(missing, merges, strict=True))
-            found = list(map(ids_of.get, chunks))
+        known: dict[str, int] = {}
+        ids, merges = Rows(np.uint32), Rows(np.uint64)
+
+        def some(chunks: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if len(known) > CACHE_CHUNKS:
+                known.clear()
+                ids.clear()
+                merges.clear()
+            missing = sorted(c for c in set(chunks).difference(known) if len(c) <= SHORT and MARK not in c)
+            self.undropped(missing, ids, merges)
+            known.update(zip(missing, range(len(known), len(known) + len(missing)), strict=True))
+            at = np.fromiter(map(known.get, chunks, repeat(-1)), np.int64, len(chunks))
+            alone, together = np.nonzero(at < 0)[0], np.nonzero(at >= 0)[0]  # long or with a literal mark; all others
+            again = alone[:0]
             if self.limit:
-                drawn = [merges_of.get(c, b"") for c in chunks]
-                counts = np.fromiter(map(len, drawn), np.int64, len(drawn)) // 8
-                owner = np.repeat(np.arange(len(chunks)), counts)
-                skipped = owner[self._drawn(np.frombuffer(b"".join(drawn), np.uint64), keys[owner])]
+                drawn, counts = merges.gathered(at[together])
+                owner = np.repeat(together, counts)
+                skipped = owner[self._drawn(drawn, keys[owner])]
                 again = skipped[np.r_[True, skipped[1:] != skipped[:-1]][: len(skipped)]]
-                for i in range(0, len(again), TOGETHER):
-                    at = again[i : i + TOGETHER]
-                    for k, new in zip(at.tolist(), self.merged_together([chunks[k].replace(" ", MARK) for k in at.tolist()], keys[at]), strict=True):
-                        found[k] = new
-            for k in (k for k, ids in enumerate(found) if ids is None):  # long, or with a literal mark
-                found[k] = self.ids(chunks[k], int(keys[k]))
-            for c in (c for c in missing if len(c) > LONGEST_CACHED):
-                del ids_of[c], merges_of[c]
-            return found
+            new = Rows(np.uint32)
+            for i in range(0, len(again), TOGETHER):
+                part = again[i : i + TOGETHER]
+                new.add(*self.merged_rows([chunks[k].replace(" ", MARK) for k in part.tolist()], keys[part]))
+            for k in alone.tolist():
+                one = np.frombuffer(self.ids(chunks[k], int(keys[k])), "<u4")
+                new.add(one, np.array([len(one)]))
+            at[np.r_[again, alone]] = ids.count + np.arange(new.count)
+            return ids.gathered(at, new)
 
         def encode(texts: list[str], documents: list[int]) -> list[np.ndarray]:
             cuts = [_CHUNK.findall(" " + t) if t else [] for t in texts]
             counts = list(map(len, cuts))
             chunks, keys = list(chain.from_iterable(cuts)), self.keys(documents, counts)
-            found = [i for k in range(0, len(chunks), AT_ONCE) for i in some(chunks[k : k + AT_ONCE], keys[k : k + AT_ONCE])]
-            ends = np.cumsum(counts).tolist()
-            return [np.frombuffer(b"".join(found[j - n : j]), "<u4") for j, n in zip(ends, counts, strict=True)]
+            parts = [some(chunks[k : k + AT_ONCE], keys[k : k + AT_ONCE]) for k in range(0, len(chunks), AT_ONCE)]
+            flat = np.concatenate([p[0] for p in parts] or [np.array([], np.uint32)])
+            ends = np.r_[0, np.cumsum(np.concatenate([p[1] for p in parts] or [np.array([], np.int64)]))]
+            last = np.r_[0, np.cumsum(counts, dtype=np.int64)]
+            return [flat[ends[i] : ends[j]] for i, j in zip(last[:-1].tolist(), last[1:].tolist(), strict=True)]
 
         return encode
 
@@ -284,12 +322,22 @@ def _numbered(docs: DataFrame, variants: int, seed: int, id_col: str, text_col:
     return texts.withColumns({"variant": variant, "document": F.xxhash64("doc_id", "text")})
 
 
+def _in_process(model_path: str, dropout: float, seed: int) -> tuple[MergeModel, Callable[[list[str], list[int]], list[np.ndarray]]]:
+    """The model and its encoder, whose caches outlast the task."""
+
+    def make():
+        model = MergeModel(model_path, dropout, seed)
+        return model, model.encoder()
+
+    return per_process("merges", model_path, (dropout, seed), make)
+
+
 def encoded(docs: DataFrame, model_path: str, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, variant, ids`` (an array of ids) for every row."""
     texts = _numbered(docs, variants, seed, id_col, text_col)
 
     def begin():
-        encode = MergeModel(model_path, dropout, seed).encoder()
+        _, encode = _in_process(model_path, dropout, seed)
         return lambda texts, documents: {"ids": encode(texts, documents)}
 
     return per_row(texts, begin, "ids array<int>", "text", "document")
@@ -318,8 +366,7 @@ def round_trips(docs: DataFrame, model_path: str, dropout: float = DROPOUT, vari
     def begin():
         import hashlib
 
-        model = MergeModel(model_path, dropout, seed)
-        encode = model.encoder()
+        model, encode = _in_process(model_path, dropout, seed)
 
         def work(texts: list[str], documents: list[int]) -> dict:
             made = {"n_pieces": [], "ids_crc32": [], "text_sha256": [], "lossless": []}
