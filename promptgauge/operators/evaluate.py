@@ -5,18 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F
 
-from promptgauge.functions.blocks import block_cross
 from promptgauge.functions.ranking import average_ranks
+from promptgauge.operators.retrieval import DIGITS, nearest
 from promptgauge.session import written
 
-DIGITS = 9  # similarities are rounded before they are ranked; ties go by id
-QUERY_BLOCK = 2_048
-CORPUS_BLOCK = 16_384
-
 
 def doubles(vector: Column) -> Column:
     return vector.cast("array<double>")
@@ -42,54 +36,6 @@ def similarity_scores(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.count("*").alias("n_pairs"), F.corr("r", "g").alias("spearman"))
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, keys: Sequence[str] = (), exclude_self: bool = False) -> DataFrame:
-    """``keys, query_id, doc_id, similarity, rank``: exact cosine top k of each query over the whole corpus of its keys.
-
-    Both sides are cut into blocks by hash. A pair of blocks is one matrix product and sends on at most
-    ``k`` rows per query, so the all-pairs table never exists. ``exclude_self`` is for the search of a table in
-    itself: a document then never answers the query of its own id.
-    """
-    n_queries = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    n_corpus = max(1, math.ceil(corpus.count() / CORPUS_BLOCK))
-
-    def unit(vectors: pd.Series) -> np.ndarray:
-        matrix = np.stack(vectors.to_numpy()).astype(float)
-        return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = [*keys, "query_id", "doc_id", "similarity"]
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=names)
-        right = right.sort_values("doc_id")
-        documents, ids = unit(right["vector"]), right["doc_id"].to_numpy()
-        found = []
-        for start in range(0, len(left), 256):
-            part = left.iloc[start : start + 256]
-            scores = np.round(unit(part["vector"]) @ documents.T, DIGITS)
-            if exclude_self:
-                scores[part["query_id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # stable: lower ids first among ties
-            found.append(
-                pd.DataFrame(
-                    {
-                        "query_id": np.repeat(part["query_id"].to_numpy(), top.shape[1]),
-                        "doc_id": ids[top].ravel(),
-                        "similarity": np.take_along_axis(scores, top, axis=1).ravel(),
-                    }
-                )
-            )
-        found = pd.concat(found).assign(**{key: left[key].iloc[0] for key in keys})[names]
-        return found[np.isfinite(found["similarity"])]
-
-    left = queries.select(*keys, "query_id", F.col("vector").alias("vector"))
-    right = corpus.select(*[F.col(c).alias(c) for c in keys], "doc_id", F.col("vector").alias("vector"))
-    schema = "".join(f"`{key}` {queries.schema[key].dataType.simpleString()}, " for key in keys)
-    schema += "query_id long, doc_id long, similarity double"
-    per_block = block_cross(left, right, n_queries, n_corpus, "query_id", "doc_id", best, schema, keys)
-    order = W.partitionBy(*keys, "query_id").orderBy(F.desc("similarity"), "doc_id")
-    return per_block.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
 def retrieval_scores(hits: DataFrame, relevant: DataFrame, k: int, keys: Sequence[str] = ()) -> DataFrame:
     """``keys, query_id, ndcg, recall, mrr`` at k. ``hits``: keys, query_id, rank, relevant (0/1); ``relevant``: keys, query_id, n_relevant."""
     gain = F.col("relevant") / F.log2(F.col("rank") + 1)
@@ -122,14 +68,15 @@ def centroids(train: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def centroid_predictions(train: DataFrame, test: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """``keys, vec_id, label, predicted``: label of the nearest centroid by cosine, lower label on ties."""
+    # the id of a query carries its label along, so the test vectors are answered where they lie
+    asked = F.struct(F.col("vec_id"), F.col("label"))
     hits = nearest(
-        test.select(*keys, F.col("vec_id").alias("query_id"), doubles(F.col("vector")).alias("vector")),
+        test.select(*keys, asked.alias("query_id"), "vector"),
         centroids(train, keys).select(*keys, F.col("label").alias("doc_id"), "vector"),
         1,
         keys,
     )
-    named = hits.select(*keys, F.col("query_id").alias("vec_id"), F.col("doc_id").alias("predicted"))
-    return test.select(*keys, "vec_id", F.col("label").cast("long").alias("label")).join(named, [*keys, "vec_id"])
+    return hits.select(*keys, "query_id.vec_id", "query_id.label", F.col("doc_id").alias("predicted"))
 
 
 def classification_scores(predictions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

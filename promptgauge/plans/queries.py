@@ -364,7 +364,7 @@ def retrieval_o43(spark, sf):
 
 
 def _predictions(spark, sf):
-    v = t.vectors(spark, sf)
+    v = t.vectors(spark, sf).withColumn("label", F.col("label").cast("long"))
     return evaluate.centroid_predictions(v.filter(~F.col("is_test")), v.filter("is_test"))
 
 

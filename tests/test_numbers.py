@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from promptgauge.functions.ranking import average_ranks, cumulative_before, group_quantiles
-from promptgauge.operators import audit, evaluate, sensitivity
+from promptgauge.operators import audit, evaluate, retrieval, sensitivity
 from promptgauge.plans.jobs import audit_runs, sensitivity_report
 from promptgauge.sources.prompts import generator_file, read_all_prompts, read_prompts, write_dedup
 from promptgauge.sources.result_cache import read_runs, run_facts
@@ -40,13 +40,13 @@ def test_positions(spark):
 
 
 def test_nearest_over_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(evaluate, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(evaluate, "CORPUS_BLOCK", 11)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "CORPUS_BLOCK", 11)
     rng = np.random.default_rng(1)
     vectors = rng.normal(size=(60, 6))
     vectors[10:20] = vectors[0]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, vector array<double>")
-    hits = evaluate.nearest(df.select(F.col("id").alias("query_id"), "vector"), df.select(F.col("id").alias("doc_id"), "vector"), 4, exclude_self=True)
+    hits = evaluate.nearest(df.select(F.col("id").alias("query_id"), "vector"), df.select(F.col("id").alias("doc_id"), "vector"), 4, exclude_self=True, sent_bytes=0)
     got = {(r.query_id, r["rank"]): r.doc_id for r in hits.collect()}
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     sims = np.round(unit @ unit.T, evaluate.DIGITS)
