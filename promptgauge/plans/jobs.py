@@ -7,6 +7,9 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, functions as F
 
 from promptgauge.operators import audit, answers, evaluate, requests, reshape, runs, sensitivity
+from promptgauge.operators.encode import EncoderFactory, encode_experiments, prompt_prefixes
+from promptgauge.operators.keyed_models import kmeans_clusters
+from promptgauge.operators.score_fact import Clusterer, score_fact
 from promptgauge.plans.dedup_texts import dedup_texts  # noqa: F401  (part of the job list)
 
 
@@ -52,6 +55,20 @@ def encode_and_score(
     return evaluate.similarity_scores(pairs, key)
 
 
+def score_experiments(
+    texts: DataFrame, experiments: DataFrame, models: DataFrame, kinds: DataFrame, factory: EncoderFactory, clusterer: Clusterer | None = None
+) -> DataFrame:
+    """What score has each planned experiment, and each baseline? From the plan to the fact table that the reports read.
+
+    ``experiments`` as from :func:`plan_runs`, ``models``: ``model, wrapper, builtin, template``, ``kinds``: ``task, kind``,
+    ``texts``: ``item_id, task, role, prompt_type, label, gold, is_test, text``. Texts stay where they lie; the prompts
+    travel. Clusters come from a k-means per run unless another clusterer is given.
+    """
+    prefixes = prompt_prefixes(runs.effective_prompts(experiments, models))
+    encoded = encode_experiments(texts, prefixes, factory)
+    return score_fact(encoded, kinds, clusterer or (lambda rows: kmeans_clusters(rows, keys=["run"])))
+
+
 def audit_runs(stored: DataFrame, plan: DataFrame | None = None) -> dict[str, DataFrame]:
     """Is the score base complete and comparable?"""
     found = {

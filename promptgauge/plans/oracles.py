@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from promptgauge.functions.wording import DATASET_SECTION, EXAMPLES, LANGUAGE_SECTION, REQUEST, RULE_SECTION
 from promptgauge.operators.requests import listed
-from promptgauge.plans.queries import CHUNKS, DRAWS, EXCLUDED, TOP
-from promptgauge.plans.tables import TASK_NAMES
+from promptgauge.plans.queries import CHUNKS, DRAWS, EXCLUDED, LETTERS, TOP
+from promptgauge.plans.tables import LABELS, TASK_NAMES
 
 
 def _quoted(text: str) -> str:
@@ -175,6 +175,85 @@ _INFLATION = f"""{_SCORES}, inflation AS (
   FROM scores JOIN base USING (model, task) WHERE NOT is_baseline GROUP BY 1, 2)"""
 
 
+def _letters(text: str) -> str:
+    """The toy encoder: length and letter counts. Counts of two joined texts add up."""
+    counts = [f"length({text})", *(f"length({text}) - length(replace({text}, '{c}', ''))" for c in LETTERS)]
+    return f"[{', '.join(counts)}]::DOUBLE[]"
+
+
+_FACT = f"""bodies AS (SELECT doc_id AS item_id, lang, coalesce(text, '') AS text FROM documents),
+items AS (
+  SELECT item_id, 'Search' AS task, 'document' AS role, NULL::DOUBLE AS gold, text FROM bodies WHERE lang = 'en'
+  UNION ALL SELECT item_id, 'Search', 'query', NULL, coalesce(text, '') FROM benchmark
+  UNION ALL SELECT item_id, 'Source', 'item', NULL, text FROM bodies WHERE lang = 'fr'
+  UNION ALL SELECT item_id, 'Group', 'item', NULL, text FROM bodies WHERE lang = 'de'
+  UNION ALL SELECT item_id, 'Alike', 'left', length(text), substr(text, 1, length(text) // 2) FROM bodies WHERE lang = 'es'
+  UNION ALL SELECT item_id, 'Alike', 'right', length(text), substr(text, length(text) // 2 + 1) FROM bodies WHERE lang = 'es'),
+shipped AS (
+  SELECT DISTINCT 'org/m' || n_regionkey AS model, n_regionkey % 2 = 0 AS instruct, 'Find ' || p_brand AS prompt
+  FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey),
+plan AS (
+  SELECT model, instruct, task, prompt FROM (SELECT * FROM shipped UNION ALL SELECT DISTINCT model, instruct, NULL FROM shipped), (SELECT DISTINCT task FROM items)),
+runs AS (
+  SELECT *, prompt IS NULL AS is_baseline,
+    CASE WHEN prompt IS NOT NULL THEN 'exp_' || substr(sha256(CASE WHEN task = 'Search'
+      THEN '[{{"key":"Search-query","value":"' || prompt || '"}},{{"key":"query","value":"' || prompt || '"}}]'
+      ELSE '[{{"key":"' || task || '","value":"' || prompt || '"}}]' END), 1, 16) END AS experiment_id FROM plan),
+shown AS (
+  SELECT model, r.task, experiment_id, is_baseline, role, item_id, item_id % {LABELS} AS label, gold,
+    substr(md5(item_id::VARCHAR), 1, 1) IN ('0', '1', '2') AS is_test, text,
+    CASE WHEN prompt IS NULL THEN CASE WHEN instruct OR r.task <> 'Search' THEN '' WHEN role = 'query' THEN 'search: ' ELSE 'passage: ' END
+         WHEN role = 'document' THEN '' WHEN instruct THEN 'Instruct: ' || prompt || chr(10) || 'Query: ' ELSE prompt END AS prefix
+  FROM runs r JOIN items i USING (task)),
+counted AS (SELECT task, role, item_id, {_letters('text')} AS own FROM items),
+before AS (SELECT prefix, {_letters('prefix')} AS added FROM (SELECT DISTINCT prefix FROM shown)),
+e AS (
+  SELECT model, task, experiment_id, is_baseline, coalesce(experiment_id, '') AS x, role, item_id, label, gold, is_test,
+    list_transform(list_zip(own, added), lambda p: p[1] + p[2]) AS vector
+  FROM shown JOIN counted USING (task, role, item_id) JOIN before USING (prefix)),
+found AS (
+  SELECT q.model, q.x, q.item_id AS query_id, (q.label = d.label)::INT AS relevant,
+    row_number() OVER (PARTITION BY q.model, q.x, q.item_id ORDER BY round(list_cosine_similarity(q.vector, d.vector), 9) DESC, d.item_id) AS rank
+  FROM e q JOIN e d ON q.model = d.model AND q.x = d.x AND q.role = 'query' AND d.role = 'document' QUALIFY rank <= {TOP}),
+sizes AS (SELECT label, count(*) AS n_relevant FROM items, LATERAL (SELECT item_id % {LABELS} AS label) WHERE role = 'document' GROUP BY 1),
+ideal AS (SELECT i AS n, (SELECT sum(1 / log2(j + 1)) FROM range(1, i + 1) AS r(j)) AS best FROM range(1, {TOP + 1}) AS s(i)),
+ndcg AS (
+  SELECT f.model, 'Search' AS task, f.x, count(DISTINCT query_id) AS n_items, sum(relevant / log2(rank + 1) / best) / count(DISTINCT query_id) AS score
+  FROM found f JOIN sizes ON sizes.label = query_id % {LABELS} JOIN ideal ON n = least(n_relevant, {TOP}) GROUP BY 1, 2, 3),
+means AS (
+  SELECT model, x, label, list(m ORDER BY spot) AS centre FROM (
+    SELECT model, x, label, spot, avg(v) AS m FROM (SELECT model, x, label, unnest(vector) AS v, generate_subscripts(vector, 1) AS spot FROM e WHERE task = 'Source' AND NOT is_test)
+    GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+guessed AS (
+  SELECT e.model, e.x, e.item_id, e.label, m.label AS predicted FROM e JOIN means m ON e.model = m.model AND e.x = m.x WHERE task = 'Source' AND is_test
+  QUALIFY row_number() OVER (PARTITION BY e.model, e.x, e.item_id ORDER BY round(list_cosine_similarity(vector, centre), 9) DESC, m.label) = 1),
+accuracy AS (SELECT model, 'Source' AS task, x, count(*) AS n_items, avg((label = predicted)::INT) AS score FROM guessed GROUP BY 1, 2, 3),
+led AS (SELECT model, x, label, list_position(vector[2:7], list_max(vector[2:7])) AS cluster FROM e WHERE task = 'Group'),
+cells AS (SELECT model, x, cluster, label, count(*)::DOUBLE AS n FROM led GROUP BY ALL),
+entropies AS (
+  SELECT model, x, sum(n) AS n, sum(n * ln(n)) AS joint,
+    (SELECT sum(c * ln(c)) FROM (SELECT sum(n) AS c FROM cells i WHERE i.model = o.model AND i.x = o.x GROUP BY cluster)) AS by_cluster,
+    (SELECT sum(c * ln(c)) FROM (SELECT sum(n) AS c FROM cells i WHERE i.model = o.model AND i.x = o.x GROUP BY label)) AS by_label
+  FROM cells o GROUP BY 1, 2),
+agreed AS (
+  SELECT model, x, n, CASE WHEN ln(n) - by_label / n > 0 THEN 1 - ((by_cluster - joint) / n) / (ln(n) - by_label / n) ELSE 1 END AS h,
+    CASE WHEN ln(n) - by_cluster / n > 0 THEN 1 - ((by_label - joint) / n) / (ln(n) - by_cluster / n) ELSE 1 END AS c FROM entropies),
+v_measure AS (SELECT model, 'Group' AS task, x, n::BIGINT AS n_items, CASE WHEN h + c > 0 THEN 2 * h * c / (h + c) ELSE 0 END AS score FROM agreed),
+pairs AS (
+  SELECT l.model, l.x, l.gold, round(list_cosine_similarity(l.vector, r.vector), 9) AS cosine
+  FROM e l JOIN e r ON l.model = r.model AND l.x = r.x AND l.item_id = r.item_id AND l.role = 'left' AND r.role = 'right'),
+ranked AS (
+  SELECT model, x, rank() OVER (PARTITION BY model, x ORDER BY cosine) + (count(*) OVER (PARTITION BY model, x, cosine) - 1) / 2.0 AS r,
+    rank() OVER (PARTITION BY model, x ORDER BY gold) + (count(*) OVER (PARTITION BY model, x, gold) - 1) / 2.0 AS g FROM pairs),
+spearman AS (SELECT model, 'Alike' AS task, x, count(*) AS n_items, corr(r, g) AS score FROM ranked GROUP BY 1, 2, 3),
+measured AS (
+  SELECT *, 'ndcg_at_{TOP}' AS metric FROM ndcg UNION ALL SELECT *, 'accuracy' FROM accuracy UNION ALL SELECT *, 'v_measure' FROM v_measure
+  UNION ALL SELECT *, 'spearman' FROM spearman),
+fact AS (
+  SELECT r.model, 'r1' AS revision, r.task, r.experiment_id, r.is_baseline, metric, n_items, score
+  FROM runs r JOIN measured m ON m.model = r.model AND m.task = r.task AND m.x = coalesce(r.experiment_id, ''))"""
+
+
 def _distribution(source: str) -> str:
     names = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
     quantiles = ", ".join(f"quantile_cont(score, {p}) AS {name}" for name, p in names.items())
@@ -310,6 +389,16 @@ h AS (SELECT (SELECT sum(n) FROM cells) AS n, (SELECT -sum(n / t * ln(n / t)) FR
 s AS (SELECT n, 1 - (hj - hc) / hl AS homogeneity, 1 - (hj - hl) / hc AS completeness FROM h)
 SELECT n::BIGINT AS n, round(homogeneity, 6) AS homogeneity, round(completeness, 6) AS completeness,
   round(2 * homogeneity * completeness / (homogeneity + completeness), 6) AS v_measure FROM s""",
+    "experiment_vectors_o33_o34_o40": f"""WITH {_FACT} SELECT model, 'r1' AS revision, task, experiment_id, is_baseline, role, count(*) AS n_vectors,
+  sum(vector[1])::BIGINT AS characters, sum(vector[2])::BIGINT AS letters_e, sum(vector[3])::BIGINT AS letters_a FROM e GROUP BY ALL""",
+    "score_fact_o42_o45": f"WITH {_FACT} SELECT * REPLACE (round(score, 6) AS score) FROM fact",
+    "fact_leaderboard_o51_o52": f"""WITH {_FACT}, own AS (
+  SELECT model, task, max(score) AS best, avg(score) FILTER (WHERE is_baseline) AS baseline FROM fact GROUP BY 1, 2),
+by_model AS (SELECT model, round(avg(best), 9) AS best, round(avg(baseline), 9) AS rival FROM own GROUP BY 1),
+reported AS (SELECT model, rank() OVER (ORDER BY rival DESC)::INT AS reported_rank FROM by_model),
+placed AS (
+  SELECT t.model, t.best AS best_mean, (1 + count(r.model))::INT AS favourable_rank FROM by_model t LEFT JOIN by_model r ON r.model <> t.model AND r.rival > t.best GROUP BY 1, 2)
+SELECT model, round(best_mean, 6) AS best_mean, favourable_rank, reported_rank, favourable_rank = 1 AS can_be_first FROM placed JOIN reported USING (model)""",
     "coverage_o46": f"WITH {_RUNS} SELECT model, task, count(DISTINCT experiment_id) AS n_experiments FROM runs GROUP BY 1, 2",
     "coverage_grid_o46": f"WITH {_RUNS} SELECT model, "
     + ", ".join(f"count(DISTINCT experiment_id) FILTER (WHERE task = '{x}') AS {x}" for x in ["click", "error", "purchase", "signup", "view"])

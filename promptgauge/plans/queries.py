@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from promptgauge.functions.text import edit_distance, threshold_ppm
 from promptgauge.operators import answers, audit, evaluate, requests, reshape, runs, sensitivity
+from promptgauge.operators.encode import encode_experiments, prompt_prefixes
+from promptgauge.operators.keyed_models import kmeans_clusters, logistic_predictions
+from promptgauge.operators.retrieval import nearest
+from promptgauge.operators.score_fact import score_fact
 from promptgauge.operators.candidates import near_pairs
 from promptgauge.operators.collapse import collapse_equal_texts
 from promptgauge.plans import jobs, tables as t
@@ -21,7 +26,7 @@ TOP = 10
 DRAWS = 50
 CHUNKS = 7
 EXCLUDED = ["PROMO", "LARGE"]
-_settled: dict[tuple, Dedup] = {}
+_settled: dict[tuple, Dedup | DataFrame] = {}
 
 
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -343,7 +348,7 @@ def similarity_o42(spark, sf):
 
 def _hits(spark, sf):
     v = t.vectors(spark, sf)
-    found = evaluate.nearest(v.select(F.col("vec_id").alias("query_id"), "vector"), v.select(F.col("vec_id").alias("doc_id"), "vector"), TOP, exclude_self=True)
+    found = nearest(v.select(F.col("vec_id").alias("query_id"), "vector"), v.select(F.col("vec_id").alias("doc_id"), "vector"), TOP, exclude_self=True)
     labels = v.select("vec_id", "label")
     return (
         found.join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted")), "query_id")
@@ -394,6 +399,67 @@ def kmeans_clustering_o45(spark, sf):
     )
 
 
+LETTERS = "eantis "
+
+
+def _letter_encoder(model: str):
+    """Stands for an embedding model: a text becomes its length and its counts of a few letters."""
+
+    def encode(texts: list[str]) -> np.ndarray:
+        return np.array([[len(x), *map(x.count, LETTERS)] for x in texts], dtype=float)
+
+    return encode
+
+
+def _encoded(spark, sf):
+    """Every text of the scored tasks under every experiment of every model."""
+    return encode_experiments(t.scored_texts(spark, sf), prompt_prefixes(t.scored_experiments(spark, sf)), _letter_encoder)
+
+
+def experiment_vectors_o33_o34_o40(spark, sf):
+    """Prompts meet the texts inside the encoding tasks; here each experiment's vectors are summed up."""
+    sums = [F.sum(F.col("vector")[i]).cast("long").alias(name) for i, name in enumerate(["characters", "letters_e", "letters_a"])]
+    return _encoded(spark, sf).groupBy("model", "revision", "task", "experiment_id", "is_baseline", "role").agg(F.count("*").alias("n_vectors"), *sums)
+
+
+def _lead_cluster(rows: DataFrame) -> DataFrame:
+    """The letter that leads a text, relative to how often each letter leads elsewhere, is its cluster."""
+    lead = F.slice("vector", 2, 6)
+    return rows.withColumn("cluster", F.array_position(lead, F.array_max(lead)))
+
+
+def _score_fact(spark, sf):
+    """The fact of a session is encoded and scored once: it is a written table."""
+    key = (spark.sparkContext.applicationId, sf, "scores")
+    if key not in _settled:
+        _settled[key] = score_fact(_encoded(spark, sf), t.scored_kinds(spark), _lead_cluster, TOP)
+    return _settled[key]
+
+
+def score_fact_o42_o45(spark, sf):
+    """From plan to scores: every experiment of four kinds of task, each by its own metric."""
+    return _rounded(_score_fact(spark, sf), "score")
+
+
+def fact_leaderboard_o51_o52(spark, sf):
+    """The leaderboard of the encoded models, reported and under each model's best prompts."""
+    return _rounded(sensitivity.favourable_leaderboard(_score_fact(spark, sf)), "best_mean")
+
+
+def logistic_per_split_o44(spark, sf):
+    """One logistic regression for each of three thirds of the vectors, all fitted together."""
+    v = t.vectors(spark, sf).withColumn("third", F.pmod("vec_id", F.lit(3)))
+    predicted = logistic_predictions(v.filter(~F.col("is_test")), v.filter("is_test"), ["third"])
+    return _rounded(evaluate.classification_scores(predicted, ["third"]), "accuracy", "macro_f1")
+
+
+def kmeans_per_split_o45(spark, sf):
+    """One k-means for each of three thirds of the vectors, as many clusters as labels."""
+    v = t.vectors(spark, sf).withColumn("third", F.pmod("vec_id", F.lit(3)))
+    scored = evaluate.clustering_scores(kmeans_clusters(v, keys=["third"]), ["third"])
+    return _rounded(scored, "homogeneity", "completeness", "v_measure")
+
+
 # audit
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from promptgauge.operators import runs as run_plans, score_fact
 from promptgauge.operators.runs import INSTRUCT, RAW_PREFIX, RETRIEVAL, prompt_map
 
 
@@ -149,6 +150,76 @@ def experiment_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("task", "prompt", "wrapper", "template", prompt_map(F.col("task"), F.col("task_class"), F.col("prompt")).alias("prompts"))
 
 
+#: language of a document -> its task and what kind of task that is
+SCORED_TASKS = {
+    "en": ("Search", score_fact.RETRIEVAL),
+    "fr": ("Source", score_fact.CLASSIFICATION),
+    "de": ("Group", score_fact.CLUSTERING),
+    "es": ("Alike", score_fact.SIMILARITY),
+}
+LABELS = 5
+
+
+def scored_kinds(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(SCORED_TASKS.values()), "task string, kind string")
+
+
+def scored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``item_id, task, role, prompt_type, label, gold, is_test, text``: what the tasks of :data:`SCORED_TASKS` encode.
+
+    Benchmark items search English documents. The halves of a Spanish document are a pair whose gold is its length.
+    """
+    names = F.create_map(*[F.lit(x) for lang, (task, _) in SCORED_TASKS.items() for x in (lang, task)])
+    digest = F.substring(F.md5(F.col("item_id").cast("string")), 1, 1)
+    body = F.coalesce(F.col("text"), F.lit(""))
+    half = F.call_function("div", F.length(body), F.lit(2)).cast("int")
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), names[F.col("lang")].alias("task"), body.alias("text"), half.alias("half"))
+    parts = (
+        F.when(F.col("task") == "Search", F.array(F.struct(F.lit("document").alias("role"), F.col("text").alias("text"))))
+        .when(
+            F.col("task") == "Alike",
+            F.array(
+                F.struct(F.lit("left").alias("role"), F.substr("text", F.lit(1), F.col("half")).alias("text")),
+                F.struct(F.lit("right").alias("role"), F.substr("text", F.col("half") + 1).alias("text")),
+            ),
+        )
+        .otherwise(F.array(F.struct(F.lit("item").alias("role"), F.col("text").alias("text"))))
+    )
+    gold = F.when(F.col("task") == "Alike", F.length("text")).cast("double")
+    shown = documents.filter("task IS NOT NULL").select("item_id", "task", gold.alias("gold"), F.explode(parts).alias("p")).select("item_id", "task", "p.role", "gold", "p.text")
+    queries = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id"), F.lit("Search").alias("task"), F.lit("query").alias("role"), F.lit(None).cast("double").alias("gold"), body.alias("text")
+    )
+    return shown.unionByName(queries).select(
+        "item_id", "task", "role", F.when(F.col("task") == "Search", F.col("role")).alias("prompt_type"), F.pmod("item_id", F.lit(LABELS)).alias("label"), "gold",
+        digest.isin("0", "1", "2").alias("is_test"), "text",
+    )
+
+
+def scored_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``model, wrapper, builtin, template``: a model per region."""
+    instruct = F.col("r_regionkey") % 2 == 0
+    return table(spark, sf_dir, "region").select(
+        F.concat(F.lit("org/m"), "r_regionkey").alias("model"),
+        F.when(instruct, INSTRUCT).otherwise(RAW_PREFIX).alias("wrapper"),
+        F.create_map(F.lit("query"), F.lit("search: "), F.lit("document"), F.lit("passage: ")).alias("builtin"),
+        F.when(instruct, F.lit("Instruct: {instruction}\nQuery: ")).alias("template"),
+    )
+
+
+def scored_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompts of every scored task, and the baseline, ready to be encoded: a region's model runs the brands its suppliers ship."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+    brands = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", F.lit("Find"), "p_brand").alias("generated_prompt"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey"))
+    regions = suppliers.join(table(spark, sf_dir, "nation"), "n_nationkey").select("l_suppkey", F.concat(F.lit("org/m"), "n_regionkey").alias("model"))
+    shipped = lines.join(brands, "l_partkey").join(regions, "l_suppkey").select("model", "generated_prompt").distinct()
+    tasks = F.array(*[F.struct(F.lit(task).alias("task"), F.lit(RETRIEVAL if kind == score_fact.RETRIEVAL else kind).alias("task_class")) for task, kind in SCORED_TASKS.values()])
+    assigned = shipped.select("model", F.lit("r1").alias("revision"), "generated_prompt", F.explode(tasks).alias("t")).select("model", "revision", "generated_prompt", "t.*")
+    models_ = scored_models(spark, sf_dir)
+    return run_plans.effective_prompts(run_plans.experiments_of(assigned), models_)
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score fact from events; the baseline of a model and task is its first event."""
     events = table(spark, sf_dir, "events").select(
