@@ -286,6 +286,13 @@ _FIRST = "('0x' || substr(md5(p_name), 1, 1))::INT % 4"
 
 ORACLES: dict[str, str] = {
     "prompt_table_roundtrip_o1_o3": "SELECT p_partkey AS id, p_size AS n, p_type AS task, p_name AS generated_prompt FROM part",
+    "prompt_array_o1": "SELECT p_partkey AS id, p_size AS n, p_type AS task, p_name AS generated_prompt FROM part",
+    "run_tree_o5": """WITH e AS (SELECT 'org/m' || (user_id % 6) AS model, 'rev' || (event_id % 2) AS revision, event_type AS task, user_id, value FROM events),
+results AS (
+  SELECT model, revision, 'exp_' || substr(sha256(task || '|' || user_id), 1, 16) AS experiment_id, task, round(avg(value), 6) AS score, count(*) AS n_items
+  FROM e GROUP BY model, revision, task, user_id
+  UNION ALL SELECT model, revision, NULL, task, round(avg(value), 6), count(*) FROM e GROUP BY model, revision, task)
+SELECT model, revision, experiment_id, experiment_id IS NULL AS is_baseline, task, score, n_items FROM results WHERE revision = 'rev1'""",
     "prompt_union_o2": "SELECT p_partkey AS id, p_name AS generated_prompt, source FROM part, (VALUES ('org-one-gen-prompts.json'), "
     "('org-two-gen-prompts.json'), ('org-three-gen-prompts.json')) AS s(source)",
     "dedup_sinks_o4": f"WITH RECURSIVE {_CLUSTERS} SELECT task, CASE WHEN id = kept_id THEN 'kept' ELSE 'removed' END AS part, "

@@ -19,8 +19,9 @@ from promptgauge.operators.collapse import collapse_equal_texts
 from promptgauge.plans import jobs, tables as t
 from promptgauge.plans.dedup_texts import Dedup, dedup_texts
 from promptgauge.session import fresh_path, spread, written
-from promptgauge.sources.prompts import read_all_prompts, read_prompts, write_dedup, write_prompts
+from promptgauge.sources.prompts import read_all_prompts, read_prompts, write_dedup, write_json_arrays, write_prompts
 from promptgauge.sources.result_cache import run_path_columns
+from promptgauge.sources.run_tree import read_tree, write_tree
 
 TOP = 10
 DRAWS = 50
@@ -58,6 +59,13 @@ def prompt_table_roundtrip_o1_o3(spark, sf):
     return read_prompts(spark, path, fields, lines=True)
 
 
+def prompt_array_o1(spark, sf):
+    """Prompts written as JSON arrays and read back in ranges."""
+    rows = t.prompts(spark, sf).select("id", "n", "task", "generated_prompt")
+    path = write_json_arrays(rows, fresh_path(spark, "prompt-arrays"))
+    return read_prompts(spark, path, "id long, n int, task string, generated_prompt string")
+
+
 def prompt_union_o2(spark, sf):
     fields = "id long, generated_prompt string"
     rows = t.prompts(spark, sf).select("id", "generated_prompt")
@@ -88,6 +96,27 @@ def run_paths_o5(spark, sf):
     return runs_.select("event_id", *run_path_columns(F.col("path")))
 
 
+def _tree_results(spark, sf):
+    """Mean values of the events as results: a custom prompt per user, a baseline per task; two revisions of six models."""
+    of = [F.concat(F.lit("org/m"), F.col("user_id") % 6).alias("model"), F.concat(F.lit("rev"), F.col("event_id") % 2).alias("revision"), F.col("event_type").alias("task")]
+    events = t.table(spark, sf, "events").select(*of, "user_id", "value")
+    measured = [F.round(F.avg("value"), 6).alias("score"), F.count("*").alias("n_items")]
+    named = F.concat(F.lit("exp_"), F.substring(F.sha2(F.concat_ws("|", "task", "user_id"), 256), 1, 16))
+    custom = events.groupBy("model", "revision", "task", "user_id").agg(*measured).withColumn("experiment_id", named).drop("user_id")
+    base = events.groupBy("model", "revision", "task").agg(*measured).withColumn("experiment_id", F.lit(None).cast("string"))
+    return custom.unionByName(base).withColumn("is_baseline", F.col("experiment_id").isNull())
+
+
+def run_tree_o5(spark, sf):
+    """A result tree is written and read back, one revision of it, baselines beside experiments."""
+    rows = _tree_results(spark, sf).withColumns({"name": F.concat("task", F.lit(".json")), "body": F.to_json(F.struct("task", "score", "n_items"))})
+    root = fresh_path(spark, "results")
+    write_tree(rows, root)
+    record = F.from_json("body", "task string, score double, n_items long")
+    kept = read_tree(spark, root).filter("revision = 'rev1'")
+    return kept.select("model", "revision", "experiment_id", "is_baseline", record.alias("r")).select("model", "revision", "experiment_id", "is_baseline", "r.*")
+
+
 def nested_prompts_o6(spark, sf):
     return reshape.nested_prompts(t.nested_prompts(spark, sf), "row_id")
 
