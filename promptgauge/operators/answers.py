@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -12,30 +15,44 @@ from promptgauge.functions.text import strip
 from promptgauge.session import written
 
 MARKER = "assistantfinal"
+BATCH = 256
+IN_FLIGHT = 8
 LENIENT = {"allowSingleQuotes": "true", "allowUnquotedFieldNames": "true", "allowComments": "true"}
 
 
-def generate(requests: DataFrame, fn: Callable[[list[str], int], list[str]], attempt: int, text_col: str = "input_prompt") -> DataFrame:
+def generate(
+    requests: DataFrame, fn: Callable[[list[str], int], list[str]], attempt: int, text_col: str = "input_prompt", batch_size: int = BATCH, in_flight: int = IN_FLIGHT
+) -> DataFrame:
     """Add ``raw`` and ``attempt``: the answer of ``fn(texts, attempt)``, in order; ``""`` where the call fails.
 
-    The number of partitions is the number of calls in flight. When a batch fails its texts are asked
-    one by one, so only those that fail stay empty.
+    A call gets at most ``batch_size`` texts, and each task has at most ``in_flight`` calls open, so ``fn`` must bear
+    being called by several threads; partitions times ``in_flight`` calls run in all. A batch whose call fails, or
+    gives another number of answers, is halved until only the texts that fail by themselves are left.
     """
 
-    def one(text: str) -> str:
+    def answered(texts: list[str]) -> list[str]:
         try:
-            return fn([text], attempt)[0]
+            found = list(fn(texts, attempt))
+            if len(found) == len(texts):
+                return found
         except Exception:
-            return ""
+            pass
+        if len(texts) == 1:
+            return [""]
+        half = len(texts) // 2
+        return answered(texts[:half]) + answered(texts[half:])
 
     def ask(batches):
-        for batch in batches:
-            texts = batch[text_col].tolist()
-            try:
-                raw = list(fn(texts, attempt))
-            except Exception:
-                raw = [one(text) for text in texts]
-            yield batch.assign(attempt=attempt, raw=pd.Series(raw, index=batch.index, dtype=object))
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                texts = batch[text_col].tolist()
+                raw: list[str] = []
+                parts = (texts[i : i + batch_size] for i in range(0, len(texts), batch_size))
+                open_ = deque(pool.submit(answered, part) for part in islice(parts, in_flight))
+                while open_:
+                    raw += open_.popleft().result()
+                    open_.extend(pool.submit(answered, part) for part in islice(parts, 1))
+                yield batch.assign(attempt=attempt, raw=pd.Series(raw, index=batch.index, dtype=object))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema)
     return requests.mapInPandas(ask, f"{fields}, attempt int, raw string")
@@ -88,6 +105,8 @@ def retried(
     attempts: int = 10,
     text_col: str = "input_prompt",
     validator: Callable[[DataFrame], DataFrame] = validated,
+    batch_size: int = BATCH,
+    in_flight: int = IN_FLIGHT,
 ) -> DataFrame:
     """Accepted answers of a first pass and up to ``attempts`` more over what is still invalid.
 
@@ -96,7 +115,7 @@ def retried(
     """
     pending, accepted = requests, []
     for attempt in range(attempts + 1):
-        checked = written(validator(generate(pending, fn, attempt, text_col)), "answers")
+        checked = written(validator(generate(pending, fn, attempt, text_col, batch_size, in_flight)), "answers")
         valid, invalid = split_valid(checked)
         accepted.append(valid)
         pending = invalid.select(*requests.columns)

@@ -19,10 +19,11 @@ def plan_requests(catalogue: DataFrame, n: int = 5, language: str = "eng") -> Da
 
 
 def collect_answers(
-    planned: DataFrame, fn: Callable[[list[str], int], list[str]], attempts: int = 10, drop_unanswered: bool = True
+    planned: DataFrame, fn: Callable[[list[str], int], list[str]], attempts: int = 10, drop_unanswered: bool = True,
+    batch_size: int = answers.BATCH, in_flight: int = answers.IN_FLIGHT,
 ) -> DataFrame:
     """Which answers are usable, and what comes out per task? One row per task and prompt."""
-    accepted = answers.retried(planned, fn, attempts)
+    accepted = answers.retried(planned, fn, attempts, batch_size=batch_size, in_flight=in_flight)
     complete = answers.restored(planned, accepted)
     shaped = complete.withColumn("generated_prompts", F.struct("prompts")).drop("prompts", "attempt", "n_returned", "is_valid")
     return reshape.prompt_rows(shaped, drop_unanswered)

@@ -110,6 +110,23 @@ decisions AS (
   FROM part p JOIN members m ON m.task = p.p_type AND m.text = p.p_name
   JOIN medoids d ON d.cluster = m.cluster JOIN texts k ON k.text_id = d.kept_id)"""
 
+def _linked(link: str) -> str:
+    """Clusters by merging the closest pair of each task while it is under the threshold, one merge a step, lowest ids first among equals."""
+    return f"""{_near(300000)}, dist AS (
+  SELECT x.task, x.text_id AS a, y.text_id AS b, x.weight * y.weight AS w, {_DISTANCE.format(a='x.text', b='y.text')} AS d
+  FROM texts x JOIN texts y ON x.task = y.task AND x.text_id <> y.text_id),
+steps AS (
+  SELECT 0 AS step, task, text_id, text_id AS cluster FROM texts
+  UNION ALL
+  SELECT s.step + 1, s.task, s.text_id, CASE WHEN s.cluster = m.high THEN m.low ELSE s.cluster END
+  FROM steps s JOIN (
+    SELECT x.task, x.cluster AS low, y.cluster AS high, round({link}, 12) AS link
+    FROM steps x JOIN steps y ON x.task = y.task AND x.cluster < y.cluster JOIN dist ON dist.a = x.text_id AND dist.b = y.text_id
+    GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY x.task ORDER BY link, low, high) = 1 AND link < 0.3) m ON m.task = s.task),
+last AS (SELECT task, text_id, cluster FROM steps QUALIFY step = max(step) OVER (PARTITION BY task))
+SELECT p_partkey AS id, cluster FROM part JOIN texts ON task = p_type AND text = p_name JOIN last USING (task, text_id)"""
+
+
 _PROMPTS = (
     "SELECT p_partkey AS id, p_size AS n, p_type AS task, p_brand AS task_description, '' AS dataset_description, "
     "'' AS language, p_name AS generated_prompt FROM part"
@@ -324,6 +341,8 @@ FROM tasked t JOIN answered a USING (request_id)""",
     "near_pairs_o25": f"WITH {_near(400000)} SELECT task, a, b, round(distance, 6) AS distance FROM pairs",
     "near_pair_counts_o26": f"WITH {_near(200000)} SELECT task, count(*) AS n_pairs FROM pairs GROUP BY 1",
     "single_clusters_o27": f"WITH RECURSIVE {_CLUSTERS} SELECT id, cluster FROM decisions",
+    "average_clusters_o27": f"WITH RECURSIVE {_linked('sum(w * d) / sum(w)')}",
+    "complete_clusters_o27": f"WITH RECURSIVE {_linked('max(d)')}",
     "medoids_o28": f"WITH RECURSIVE {_CLUSTERS} SELECT cluster, kept_id FROM medoids",
     "kept_rows_o29": f"WITH RECURSIVE {_CLUSTERS} SELECT p.* FROM ({_PROMPTS}) p JOIN medoids ON p.id = kept_id",
     "removed_rows_o30": f"WITH RECURSIVE {_CLUSTERS} SELECT task, id AS removed_id, kept_id, round(distance, 6) AS distance, "
@@ -410,6 +429,7 @@ SELECT model, round(best_mean, 6) AS best_mean, favourable_rank, reported_rank,
     "coverage_grid_o46": f"WITH {_RUNS} SELECT model, "
     + ", ".join(f"count(DISTINCT experiment_id) FILTER (WHERE task = '{x}') AS {x}" for x in ["click", "error", "purchase", "signup", "view"])
     + " FROM runs GROUP BY 1",
+    "coverage_grown_o46": f"WITH {_RUNS} SELECT model, task, count(DISTINCT experiment_id) AS n_experiments FROM runs GROUP BY 1, 2",
     "coverage_gaps_o46": f"""WITH {_RUNS}, plan AS (
   SELECT model, task, experiment_id FROM runs UNION
   SELECT 'org/m' || ((user_id + 1) % 6), event_type, 'exp_' || substr(sha256(event_type || '|' || props), 1, 16) FROM events)
@@ -422,6 +442,14 @@ for _name, _key in (("model_drift_o47", "model"), ("experiment_drift_o47", "expe
   count(DISTINCT batch_size) > 1 OR count(DISTINCT library) > 1 AS drifts FROM runs GROUP BY 1"""
 
 ORACLES |= {
+    "coverage_gap_bits_o46": ORACLES["coverage_gaps_o46"],
+    "common_bits_o48": f"""WITH {_RUNS} SELECT experiment_id FROM runs GROUP BY 1
+HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM runs)""",
+    "left_out_tasks_o51": """WITH s AS (
+  SELECT DISTINCT 'm' || (l_suppkey % 6) AS model, l_returnflag || l_linestatus AS task, l_linestatus = 'F' AS of_baselines FROM lineitem),
+need AS (SELECT task, of_baselines, model FROM (SELECT DISTINCT task FROM s), (SELECT DISTINCT of_baselines, model FROM s))
+SELECT task, of_baselines, string_agg(model, ',' ORDER BY model) AS lacking
+FROM (SELECT task, of_baselines, model FROM need EXCEPT SELECT task, of_baselines, model FROM s) GROUP BY 1, 2""",
     "common_experiments_o48": f"""WITH {_RUNS}, held AS (
   SELECT experiment_id FROM runs GROUP BY 1 HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM runs))
 SELECT task, experiment_id, count(*) AS n_runs FROM runs WHERE experiment_id IN (SELECT experiment_id FROM held) GROUP BY 1, 2""",

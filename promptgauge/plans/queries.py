@@ -16,6 +16,7 @@ from promptgauge.operators.retrieval import nearest
 from promptgauge.operators.score_fact import score_fact
 from promptgauge.operators.candidates import near_pairs
 from promptgauge.operators.collapse import collapse_equal_texts
+from promptgauge.operators.coverage import Coverage
 from promptgauge.plans import jobs, tables as t
 from promptgauge.plans.dedup_texts import Dedup, dedup_texts
 from promptgauge.session import fresh_path, spread, written
@@ -497,7 +498,17 @@ def coverage_o46(spark, sf):
 
 
 def coverage_grid_o46(spark, sf):
-    return audit.coverage(t.runs(spark, sf), ["click", "error", "purchase", "signup", "view"])
+    return Coverage.of(t.runs(spark, sf)).grid()
+
+
+def coverage_grown_o46(spark, sf):
+    """Runs of the library's older version first; the newer ones are merged into their bitmaps."""
+    rows = t.runs(spark, sf)
+    return Coverage.of(rows.filter("library = '2.18.0'")).plus(rows.filter("library <> '2.18.0'")).counts()
+
+
+def coverage_gap_bits_o46(spark, sf):
+    return Coverage.of(t.runs(spark, sf)).gaps(t.run_plan(spark, sf))
 
 
 def coverage_gaps_o46(spark, sf):
@@ -516,6 +527,10 @@ def common_experiments_o48(spark, sf):
     return audit.common_experiments(t.runs(spark, sf)).groupBy("task", "experiment_id").agg(F.count("*").alias("n_runs"))
 
 
+def common_bits_o48(spark, sf):
+    return Coverage.of(t.runs(spark, sf)).common()
+
+
 # sensitivity
 
 SPREAD = ("mean", "sd", "min", "max", "p5", "p25", "median", "p75", "p95", "range")
@@ -537,6 +552,12 @@ def reported_leaderboard_o51(spark, sf):
     return _rounded(sensitivity.reported_leaderboard(t.scores(spark, sf)), "mean_baseline")
 
 
+def left_out_tasks_o51(spark, sf):
+    """Order lines as scores, shipped ones as baselines: a flag that not every model has is left out of leaderboards."""
+    rows = t.line_scores(spark, sf).withColumn("is_baseline", F.col("task").endswith("F"))
+    return sensitivity.left_out_tasks(rows).withColumn("lacking", F.array_join("lacking", ","))
+
+
 def favourable_leaderboard_o52(spark, sf):
     return _rounded(sensitivity.favourable_leaderboard(t.scores(spark, sf)), "best_mean")
 
