@@ -4,9 +4,14 @@ Distinct vectors are dealt at random, but repeatably, to shards of bounded size,
 are within a factor of 16; a few extreme vectors are so a small shard, which is met whole. For each shard one task builds a
 directed graph in batches: a greedy beam search over the graph so far proposes neighbours for each new
 vector, and relaxed distance pruning keeps a diverse few (a candidate goes when a kept neighbour is closer to it, by a
-factor, than the vector is). Links are made both ways and pruned again where they grow too many. The index is
-written. Queries are dealt to blocks of bounded size, every block is beam-searched in every shard, and each
-query's best rows of all shards are ranked.
+factor, than the vector is). Links are made both ways and pruned again where they grow too many. Shards grow with the
+table up to a bound. The index is written and shuffled once for a search: the task of a shard reads the written
+queries in bounded batches and beam-searches them, and each query's best rows of all shards are ranked.
+
+No fixed beam suits every table: with vectors of very unequal lengths the largest products lie far from where the links
+lead. So the recall of each shard is measured when it is built, on ``SAMPLE`` of its own vectors against all of its
+rows, with beams of growing width. The narrowest that finds ``TARGET`` of the true neighbours is kept with
+the shard, beside the recall measured; where none of ``BEAMS`` does, the shard is met whole by every query.
 
 Largest inner products are turned into smallest distances by one more component that gives all vectors of a
 shard the same length. All of it is in double precision: shards and queries are scaled by powers of two, so that no square
@@ -23,19 +28,24 @@ only. Ties go to the smaller id. With fewer than k candidates a query gets all f
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset, fs
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from promptgauge.session import written
+from promptgauge.session import fresh_path, written
 
-SHARD_ROWS = 8192
+SHARD_ROWS, MOST_SHARD_ROWS, SHARDS = 8192, 65_536, 1024
 BLOCK_QUERIES = 8192
 DEGREE, SLACK = 32, 16
 BEAM, WIDTH = 96, 4
 ALPHA = 1.2
 BATCH = 512
-ENTRIES = 64
+ENTRIES, LONGEST = 64, 32
+BEAMS, TARGET, SAMPLE = (1, 2, 4), 0.97, 128
+WHOLE, MET = -1, 1 << 22  # a shard met whole, and how many rows are then met at once
 GATHERED = 96
 SEED = 3
 CLASS_BITS, CLASS_OFFSET = 4, 2
@@ -51,7 +61,10 @@ class Graph:
         self.degree = np.zeros(len(vectors), dtype=np.int64)
         # several entries at random places: from a single one a dense group around it may offer no way out
         self.order = np.random.default_rng(seed).permutation(len(vectors))
-        self.entries = self.order[:ENTRIES]
+        # and at the longest vectors, where largest products tend to be
+        longest = np.argsort(-lengths, kind="stable")[:LONGEST]
+        self.order = np.r_[longest, self.order[~np.isin(self.order, longest)]]
+        self.entries = self.order[: LONGEST + ENTRIES]
 
     # building
 
@@ -182,10 +195,30 @@ class Graph:
 
     def search(self, queries: np.ndarray, beam: int) -> np.ndarray:
         """Node numbers for original query vectors, -1 where fewer are met. A shard not much larger than the beam is met whole."""
-        if len(self.points) <= 2 * beam:
+        if beam == WHOLE or len(self.points) <= 2 * beam:
             return np.tile(np.arange(len(self.points)), (len(queries), 1))
         return self.beam_search(np.c_[queries, np.zeros(len(queries))], beam)[0]
 
+    def measured_beam(self, k: int, beam: int) -> tuple[int, float]:
+        """The narrowest beam that finds enough of the true neighbours of a sample of the shard's own vectors, and its recall."""
+        n = len(self.points)
+        if n <= 2 * beam:
+            return WHOLE, 1.0
+        own = np.unique(np.linspace(0, n - 1, SAMPLE).astype(np.int64))
+        products = self.points[own, :-1] @ self.points[:, :-1].T
+        products[np.arange(len(own)), own] = -np.inf
+        many = min(k, n - 1)
+        least = -np.partition(-products, many - 1, axis=1)[:, many - 1 : many]  # equal products are equally good
+        for width in BEAMS:
+            if n <= 2 * beam * width:
+                break
+            met = self.search(self.points[own, :-1], beam * width)
+            hits = (np.take_along_axis(products, np.maximum(met, 0), 1) >= least) & (met >= 0)
+            recall = float(np.minimum(hits.sum(axis=1), many).mean() / many)
+            if recall >= TARGET:
+                return beam * width, recall
+        return WHOLE, 1.0
+
 
 def usable(vector: Column) -> Column:
     """Whether a vector takes part."""
@@ -198,6 +231,10 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy().reshape(len(flat), -1)
 
 
+def _store(folder: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(folder if ":/" in folder else f"file://{folder}")
+
+
 def _scaled(vectors: np.ndarray, axis: int | None = None) -> np.ndarray:
     """Divided by a power of two, so that the largest component of all, or of each row, is from a half to one."""
     most = np.abs(vectors).max(axis=axis, keepdims=True, initial=0.0)
@@ -213,72 +250,94 @@ def participants(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     return rows.filter(F.col("vec_id").isNotNull() & usable(F.col("vector"))).groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
-def built_index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> DataFrame:
-    """The written index over :func:`participants`: ``dims, size_class, shard, node, ids, vector, links``, node numbers by shard."""
+def built_index(rows: DataFrame, k: int, shard_rows: int | None = None, beam: int = BEAM, seed: int = SEED) -> DataFrame:
+    """The written index over :func:`participants`: ``dims, size_class, shard, node, ids, vector, links, beam, recall``.
+
+    Nodes are numbered by shard; ``beam`` is the width the shard is searched with, and ``recall`` what was measured with it.
+    """
     equal = Window.partitionBy("vector").orderBy("vec_id")
     few = rows.withColumn("nth", F.row_number().over(equal)).filter(F.col("nth") <= k + 1)
     nodes = few.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     largest = F.log2(F.array_max(F.transform("vector", F.abs)))
     size_class = F.floor((largest + CLASS_OFFSET) / CLASS_BITS).cast("int")
     nodes = written(nodes.withColumns({"dims": F.size("vector"), "size_class": size_class}), "nodes")
-    counts = nodes.groupBy("dims", "size_class").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
-    dealt = nodes.join(written(counts, "counts"), ["dims", "size_class"])
+    wanted = F.least(F.greatest(F.count("*") / SHARDS, F.lit(float(SHARD_ROWS))), F.lit(float(MOST_SHARD_ROWS))) if shard_rows is None else F.lit(float(shard_rows))
+    counts = written(nodes.groupBy("dims", "size_class").agg(F.ceil(F.count("*") / wanted).alias("shards")), "counts")
+    dealt = nodes.join(counts, ["dims", "size_class"])
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.col("ids")[0]), F.col("shards")).cast("int")).drop("shards")
+    total = counts.agg(F.coalesce(F.sum("shards"), F.lit(1))).first()[0]
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
         first = np.array([i[0] for i in table["ids"].to_pylist()])
         table = table.take(np.argsort(first))  # so that the same rows give the same graph
         graph = Graph(_scaled(_matrix(table["vector"])), seed)
         graph.build()
+        width, recall = graph.measured_beam(k, beam)
         links = [row[row >= 0].tolist() for row in graph.links]
+        n = len(table)
         return pa.Table.from_arrays(
-            [*(table[c] for c in _KEY), pa.array(np.arange(len(table), dtype="i4")), table["ids"], table["vector"], pa.array(links, pa.list_(pa.int32()))],
-            names=[*_KEY, "node", "ids", "vector", "links"],
+            [*(table[c] for c in _KEY), pa.array(np.arange(n, dtype="i4")), table["ids"], table["vector"], pa.array(links, pa.list_(pa.int32())), pa.array(np.full(n, width, "i4")), pa.array(np.full(n, recall))],
+            names=[*_KEY, "node", "ids", "vector", "links", "beam", "recall"],
         )
 
-    schema = "dims int, size_class int, shard int, node int, ids array<long>, vector array<double>, links array<int>"
-    return written(dealt.groupBy(*_KEY).applyInArrow(build, schema), "index")
-
-
-def searched(index: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, block_queries: int = BLOCK_QUERIES, seed: int = SEED) -> DataFrame:
+    schema = "dims int, size_class int, shard int, node int, ids array<long>, vector array<double>, links array<int>, beam int, recall double"
+    # few rows and much work: a number of tasks that adaptive execution doesn't fold together
+    return written(dealt.repartition(max(1, 2 * total), *_KEY).groupBy(*_KEY).applyInArrow(build, schema), "index")
+
+
+def _best(raw: np.ndarray, ids: list[list[int]], names: np.ndarray, vectors: np.ndarray, met: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query ids, vector ids and scores of the ``k`` best of each query among the nodes it met, its own id left out."""
+    query, place = np.nonzero(met >= 0)
+    node = met[query, place]
+    scores = np.concatenate([(raw[node[i : i + 65_536]] * vectors[query[i : i + 65_536]]).sum(axis=1) for i in range(0, len(node), 65_536)] or [np.array([])])
+    many = np.array(list(map(len, ids)), dtype=np.int64)
+    flat, starts = np.array([i for of in ids for i in of], dtype=np.int64), np.cumsum(many) - many
+    times = many[node]
+    before = np.cumsum(times) - times
+    found = flat[np.repeat(starts[node] - before, times) + np.arange(times.sum())]
+    query, scores = np.repeat(query, times), np.repeat(scores, times)
+    other = found != names[query]
+    query, scores, found = query[other], scores[other], found[other]
+    order = np.lexsort((found, -scores, query))
+    query, scores, found = query[order], scores[order], found[order]
+    first = np.searchsorted(query, query)
+    keep = np.arange(len(query)) - first < k
+    return names[query[keep]], found[keep], scores[keep]
+
+
+def searched(index: DataFrame, queries: DataFrame, k: int, block_queries: int = BLOCK_QUERIES, seed: int = SEED) -> DataFrame:
     """``query_id, rank, vec_id, score`` for ``queries(vec_id, vector)``, its own id left out."""
-    queries = written(queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), F.size("vector").alias("dims")), "queries")
-    blocks = max(1, -(-queries.count() // block_queries))
-    shards = written(index.select(*_KEY).distinct(), "shards")
-    asked = queries.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "query_id"), F.lit(blocks)).cast("int"))
-    asked = asked.join(shards, "dims")
-    held = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    spark = index.sparkSession
+    asked = fresh_path(spark, "queries")
+    # in files of bounded size, which the task of every shard reads one batch at a time
+    queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), F.size("vector").alias("dims")).write.option("maxRecordsPerFile", 1 << 20).parquet(asked)
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
-    def search(key: tuple, nodes: pa.Table, block: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(nodes) and len(block):
-            nodes = nodes.sort_by("node")
-            raw = _matrix(nodes["vector"])
-            graph = Graph(_scaled(raw), seed)
-            for i, row in enumerate(nodes["links"].to_pylist()):
-                graph.links[i, : len(row)] = row
-            ids = nodes["ids"].to_pylist()
-            vectors, names = _matrix(block["query"]), block["query_id"].to_numpy()
-            for name, vector, met in zip(names, vectors, graph.search(_scaled(vectors, 1), beam), strict=True):
-                met = met[met >= 0]
-                scores = (raw[met] * vector).sum(axis=1)
-                found = [(s, i) for m, s in zip(met.tolist(), scores.tolist(), strict=True) for i in ids[m] if i != name]
-                found.sort(key=lambda f: (-f[0], f[1]))
-                best = found[:k]
-                out.append((np.full(len(best), name), np.array([i for _, i in best], "i8"), np.array([s for s, _ in best], "f8")))
-        columns = [np.concatenate([o[j] for o in out] or [np.array([], kind)]) for j, kind in enumerate(("i8", "i8", "f8"))]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-    by = [*_KEY, "block"]
-    found = held.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(search, "query_id long, vec_id long, score double")
+    def search(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes = pa.Table.from_batches(list(batches)).sort_by("node")  # a shard is bounded; its answers leave batch by batch
+        raw, width = _matrix(nodes["vector"]), nodes["beam"][0].as_py()
+        graph = Graph(_scaled(raw), seed)
+        for i, row in enumerate(nodes["links"].to_pylist()):
+            graph.links[i, : len(row)] = row
+        ids = nodes["ids"].to_pylist()
+        store, path = _store(asked)
+        files = dataset.dataset(path, filesystem=store, format="parquet")
+        step = max(1, min(block_queries, MET // len(raw))) if width == WHOLE or len(raw) <= 2 * width else block_queries
+        for batch in files.to_batches(batch_size=step, filter=dataset.field("dims") == key[0].as_py()):
+            if batch.num_rows:
+                names, vectors = batch["query_id"].to_numpy(), _matrix(pa.chunked_array([batch["query"]]))
+                columns = _best(raw, ids, names, vectors, graph.search(_scaled(vectors, 1), width), k)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    shards = max(1, index.select(*_KEY).distinct().count())
+    found = index.repartition(2 * shards, *_KEY).groupBy(*_KEY).applyInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 20, query_every: int = 20, shard_rows: int = SHARD_ROWS, beam: int = BEAM, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, k: int = 20, query_every: int = 20, shard_rows: int | None = None, beam: int = BEAM, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Index every row and search it for the rows whose id ``query_every`` divides."""
     rows = written(participants(vectors, id_col, vector_col), "vectors")
-    index = built_index(rows, k, shard_rows)
-    return searched(index, rows.filter(F.col("vec_id") % query_every == 0), k, max(beam, 3 * k))
+    index = built_index(rows, k, shard_rows, max(beam, 3 * k))
+    return searched(index, rows.filter(F.col("vec_id") % query_every == 0), k)

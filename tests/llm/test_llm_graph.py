@@ -98,3 +98,32 @@ def test_pruning_keeps_diverse_neighbours():
     kept = graph.pruned(np.array([0]), np.array([[1, 2, 3, 4, 5, 1, -1]]))[0]
     flat = graph.points[:, :2]
     assert {tuple(flat[i]) for i in kept if i >= 0} >= {(1.0, 0.0), (0.0, 1.0)} and 2 not in kept and 4 not in kept
+
+
+@pytest.mark.parametrize("kind", ["unscaled", "heavy lengths", "unit"])
+def test_recall_whatever_the_lengths_are(spark, kind):
+    """The measured beam, or the whole shard, keeps recall up where no constant beam does."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((5000, 64))
+    if kind == "heavy lengths":
+        x *= rng.pareto(2, size=(5000, 1)) + 0.1
+    if kind == "unit":
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in op.nearest_neighbours(df, shard_rows=2500).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = np.arange(0, 5000, 20)
+    products = x[asked] @ x.T
+    products[np.arange(len(asked)), asked] = -np.inf
+    true = np.argsort(-products, axis=1)[:, :20]
+    recall = np.mean([len(found[q] & set(t)) / 20 for q, t in zip(asked.tolist(), true.tolist())])
+    assert recall >= 0.95
+
+
+def test_the_index_says_how_it_is_searched(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((900, 8)))], "vec_id long, embedding array<double>")
+    index = op.built_index(op.participants(df), 5, 300, 16)
+    found = index.select("shard", "beam", "recall").distinct().collect()
+    assert len(found) == 3 and all(r.recall >= 0.97 and (r.beam == op.WHOLE or r.beam in (16, 32, 64)) for r in found)
