@@ -1,17 +1,18 @@
 """Near-duplicates by SimHash: a byte-position inverted index with count filtering.
 
-Two fingerprints that differ in at most d bits share at least 8 - d of their eight positional bytes. That
-guaranteed number of matches is the key of the index: for every choice of 8 - d byte positions a fingerprint
-is posted under the values it has there. A pair then meets in exactly the posting lists whose
-positions all match, so a pair that meets has reached the minimum count, and a pair that has reached it
-meets. (Lists of single bytes, whose matches would be added up pair by pair, hold a 256th of all
-fingerprints each and make a quadratic number of pairs; the lists here give the same pairs.) Members of a
-list are verified by counting their differing bits.
-
-Only distinct fingerprints are indexed. A list holds at most 256^d of them, 65,536 for d = 2, whatever the
-size of the corpus or of a group of copies, and is settled in one step without listing its pairs: neighbours
-are looked up by flipping up to d free bits. Each list hands on one edge per member at most, and connected
-components join them. Work grows in proportion to the number of fingerprints.
+Two fingerprints that differ in at most d bits share at least 8 - d of their eight positional bytes. Fingerprints are
+posted under the values they have at every choice of m byte positions; the members of a list are paired, and the lists
+that each pair meets in are tallied. A pair with s bytes in common meets in as many lists as there are choices of m
+out of s, so a pair goes on only if its tally reaches the choices of m out of 8 - d, the guaranteed minimum. What is
+left is verified by counting the bits that differ.
+
+m is the smallest number of positions at which a fingerprint is expected to meet at most one other by chance, given
+how many fingerprints there are: the pairs tallied then grow with the table and not with its square. Lists
+longer than ``LIST`` come from groups of near copies. Their members are not paired: they are indexed once more, at
+every choice of 8 - d positions. There a pair meets exactly if it shares enough bytes; such a list is split no further, as it
+holds at most 256^d fingerprints, is settled by flipping up to d free bits, and hands on one edge per member at most. Two
+members of one long list are both indexed again, and a pair without a common long list has its whole tally, so no
+link is lost. Only distinct fingerprints are indexed; connected components join the edges.
 
 Words are the runs of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -40,6 +42,7 @@ SHINGLE = 3
 MAX_BITS = 2
 SEED = 42
 CHUNK = 1 << 15
+LIST = 64
 PAIRWISE = 64
 BYTES = 8
 _PLACES = np.arange(8, dtype=np.intp) * 256
@@ -107,25 +110,103 @@ def _settled(free: np.ndarray, max_bits: int, masks: np.ndarray) -> np.ndarray:
         label = low
 
 
+def positions_together(n: int, max_bits: int = MAX_BITS) -> int:
+    """How many byte positions make a list, for ``n`` distinct fingerprints."""
+    return next((m for m in range(1, BYTES - max_bits) if n * comb(BYTES, m) <= 256**m), BYTES - max_bits)
+
+
+def _posted(distinct: DataFrame, together: int) -> DataFrame:
+    """``node, fp, slot, held``: every fingerprint under its values at every choice of ``together`` byte positions, lists sorted inside tasks."""
+    keys = [sum(0xFF << (8 * b) for b in some) for some in combinations(range(BYTES), together)]
+    signed = [k - (1 << 64) if k >> 63 else k for k in keys]
+    entries = F.array([F.struct(F.lit(i).alias("slot"), F.col("fp").bitwiseAND(F.lit(k)).alias("held")) for i, k in enumerate(signed)])
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    posted = distinct.select("node", "fp", F.explode(entries).alias("p")).select("node", "fp", "p.slot", "p.held")
+    return posted.repartition(parts, "slot", "held").sortWithinPartitions("slot", "held", "fp")
+
+
+def _starts(rows: pd.DataFrame) -> np.ndarray:
+    slot, held = rows["slot"].to_numpy(), rows["held"].to_numpy()
+    return np.nonzero(np.r_[True, (slot[1:] != slot[:-1]) | (held[1:] != held[:-1])])[0]
+
+
+def _paired(rows: pd.DataFrame, starts: np.ndarray, sizes: np.ndarray) -> pd.DataFrame:
+    """``a, b, bits``: all pairs of each of the short lists, and how many bits differ; members of long lists with themselves and -1 bits."""
+    node, fp = rows["node"].to_numpy(), rows["fp"].to_numpy().astype("u8")
+    a, b, bits = [], [], []
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= LIST)]).tolist():
+        first, second = np.triu_indices(size, 1)
+        places = starts[sizes == size][:, None]
+        i, j = (places + first).ravel(), (places + second).ravel()
+        a.append(np.minimum(node[i], node[j]))
+        b.append(np.maximum(node[i], node[j]))
+        bits.append(np.bitwise_count(fp[i] ^ fp[j]).astype("i4"))
+    for start, size in zip(starts[sizes > LIST].tolist(), sizes[sizes > LIST].tolist(), strict=True):
+        a.append(node[start : start + size])
+        b.append(node[start : start + size])
+        bits.append(np.full(size, -1, dtype="i4"))
+    kinds = ("i8", "i8", "i4")
+    return pd.DataFrame({name: np.concatenate(parts or [np.array([], kind)]).astype(kind) for name, parts, kind in zip(("a", "b", "bits"), (a, b, bits), kinds, strict=True)})
+
+
+def _pairs_of_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs of all lists; of a list that goes on in the next batch no more than ``LIST`` rows are held."""
+    carried, long_list = None, None
+    for batch in batches:
+        rows = batch if carried is None else pd.concat([carried, batch], ignore_index=True)
+        if not len(rows):
+            continue
+        starts = _starts(rows)
+        sizes = np.diff(np.r_[starts, len(rows)])
+        name = tuple(rows.iloc[0][["slot", "held"]])
+        if long_list == name:  # the rest of a list known to be long
+            sizes[0] = max(sizes[0], 1)
+            rest = rows.iloc[: sizes[0]]
+            yield pd.DataFrame({"a": rest["node"], "b": rest["node"], "bits": np.full(len(rest), -1, dtype="i4")})
+            rows, carried = rows.iloc[sizes[0] :].reset_index(drop=True), None
+            if not len(rows):
+                continue
+            starts = _starts(rows)
+            sizes = np.diff(np.r_[starts, len(rows)])
+        long_list = tuple(rows.iloc[-1][["slot", "held"]]) if sizes[-1] > LIST else None
+        last = len(sizes) if long_list else len(sizes) - 1
+        yield _paired(rows, starts[:last], sizes[:last])
+        carried = None if long_list else rows.iloc[starts[-1] :]
+    if carried is not None:
+        yield _paired(carried.reset_index(drop=True), np.array([0]), np.array([len(carried)]))
+
+
+def tallied(distinct: DataFrame, max_bits: int, together: int) -> DataFrame:
+    """``a, b, bits, shared``: pairs by the number of lists they meet in, and the members of long lists with themselves and -1 bits."""
+    met = _posted(distinct, together).mapInPandas(_pairs_of_lists, "a long, b long, bits int")
+    return met.groupBy("a", "b", "bits").agg(F.count("*").alias("shared"))
+
+
 def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Edges ``a, b`` that connect just those nodes of ``distinct(node, fp)`` that chains of near fingerprints connect."""
-    slots = list(combinations(range(BYTES), BYTES - max_bits))
-    keys = [sum(0xFF << (8 * b) for b in some) for some in slots]
-    signed = [k - (1 << 64) if k >> 63 else k for k in keys]
+    together = positions_together(distinct.count(), max_bits)
+    found = written(tallied(distinct, max_bits, together), "tally")
+    enough = (F.col("bits") >= 0) & (F.col("shared") >= comb(BYTES - max_bits, together))
+    near = found.filter(enough & (F.col("bits") <= max_bits)).select("a", "b")
+    again = found.filter("bits < 0").select(F.col("a").alias("node")).distinct()
+    if again.isEmpty():
+        return near
+    return near.unionByName(_links_of_dense(written(distinct.join(again, "node", "left_semi"), "dense"), max_bits)).distinct()
+
+
+def _links_of_dense(distinct: DataFrame, max_bits: int) -> DataFrame:
+    """The edges of fingerprints in long lists, by lists of all the bytes that near fingerprints must share."""
     # the free bytes of each list, gathered into the low bits
-    rest = [[b for b in range(BYTES) if b not in some] for some in slots]
+    rest = [[b for b in range(BYTES) if b not in some] for some in combinations(range(BYTES), BYTES - max_bits)]
     masks = _masks(max_bits)
-    posted = distinct.select("node", "fp", F.explode(F.array([F.struct(F.lit(i).alias("slot"), F.col("fp").bitwiseAND(F.lit(k)).alias("held")) for i, k in enumerate(signed)])).alias("p")).select("node", "fp", "p.slot", "p.held")
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carried: pd.DataFrame | None = None
         for batch in batches:
             rows = batch if carried is None else pd.concat([carried, batch], ignore_index=True)
-            slot, held = rows["slot"].to_numpy(), rows["held"].to_numpy()
-            starts = np.nonzero(np.r_[True, (slot[1:] != slot[:-1]) | (held[1:] != held[:-1])])[0] if len(rows) else np.array([], int)
-            if not len(starts):
+            if not len(rows):
                 continue
+            starts = _starts(rows)
             carried = rows.iloc[starts[-1] :]  # the last list may go on in the next batch
             yield edges(rows, starts)
         if carried is not None and len(carried):
@@ -148,8 +229,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             return pd.DataFrame({"a": np.array([], "i8"), "b": np.array([], "i8")})
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    dealt = posted.repartition(parts, "slot", "held").sortWithinPartitions("slot", "held", "fp")
-    return dealt.mapInPandas(settle, "a long, b long").distinct()
+    return _posted(distinct, BYTES - max_bits).mapInPandas(settle, "a long, b long").distinct()
 
 
 def _components(named: DataFrame, max_bits: int) -> DataFrame:

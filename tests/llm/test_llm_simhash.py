@@ -1,7 +1,9 @@
 import random
 import re
 from itertools import combinations
+from math import comb
 
+import pytest
 import xxhash
 from fixtures import ODD, documents
 
@@ -72,6 +74,49 @@ def test_links_against_all_pairs(spark):
     assert len(edges) < 28 * len(order)
 
 
+@pytest.mark.parametrize("together,most", [(1, 64), (2, 64), (3, 64), (4, 8), (2, 3), (6, 2)])
+def test_tally_against_all_pairs(spark, monkeypatch, together, most):
+    """Every pair's tally is the number of choices out of the bytes it shares; no pair at the minimum is missing."""
+    monkeypatch.setattr(op, "LIST", most)
+    rng = random.Random(together)
+    prints = {0, (1 << 64) - 1}
+    for _ in range(60):
+        f = rng.getrandbits(64)
+        for _ in range(rng.choice([1, 3, 12])):
+            prints.add(f)
+            f ^= 1 << rng.randrange(64)
+    ordered = sorted(prints)
+    nodes = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(ordered)], "node long, fp long")
+    found = {(r.a, r.b): (r.bits, r.shared) for r in op.tallied(nodes, 2, together).collect()}
+    dense = {a for (a, b), (bits, _) in found.items() if bits < 0}
+    for i, j in combinations(range(len(ordered)), 2):
+        shared = sum((ordered[i] ^ ordered[j]) >> 8 * k & 255 == 0 for k in range(8))
+        if i in dense and j in dense:
+            continue
+        assert found.get((i, j), (None, 0))[1] == comb(shared, together)
+        if comb(shared, together):
+            assert found[i, j][0] == (ordered[i] ^ ordered[j]).bit_count()
+    group = components(prints)
+    edges = components_of(op.links(nodes, 2).collect(), len(ordered))
+    assert all((edges[i] == edges[j]) == (group[ordered[i]] == group[ordered[j]]) for i, j in combinations(range(len(ordered)), 2))
+
+
+def components_of(edges, n):
+    label = list(range(n))
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            low = min(label[a], label[b])
+            changed |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    return label
+
+
+def test_positions_grow_with_the_table():
+    assert [op.positions_together(n) for n in (10, 2000, 100_000, 10**7, 10**9, 10**12)] == [1, 2, 3, 4, 5, 6]
+
+
 def test_one_stays(spark):
     docs = documents(spark, ODD)
     left = op.without_near_duplicates(docs)
