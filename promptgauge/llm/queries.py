@@ -53,7 +53,7 @@ def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
-    return archived(_table(spark, sf, "pages")).drop("url", "payload")
+    return archived(_table(spark, sf, "pages")).drop("url", "payload", "record_id", "refers_to_record")
 
 
 def op6_url_filters(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,7 +4,8 @@ An archive begins with a skippable frame (magic 0x184D2A5D) that holds the dicti
 then follows one frame per record, so that any record can be decoded by itself. The reader takes the
 dictionary from the leading frame, decodes frame after frame as a stream and checks for each record the version line,
 the required headers, that Content-Length is the length of the block and that the block ends the frame, and
-for full records that the payload has the length and the SHA-1 the headers state. A damaged archive raises an error.
+for full records that the payload has the length and the SHA-1 the headers state. A damaged archive raises
+``ArchiveError``, which names it and the record. ``read_foreign`` reads archives of other writers.
 
 Each writing task makes archives of bounded size in the shared folder and hands on a manifest row for each;
 the manifest is written by Spark, and only archives it names are read. What a lost or repeated task left behind
@@ -39,6 +40,7 @@ from promptgauge.session import fresh_path, written
 DICTIONARY_MAGIC = 0x184D2A5D
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 VERSION = b"WARC/1.1"
+VERSIONS = (b"WARC/1.0", VERSION)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 ARCHIVE_BYTES = 32 << 20
@@ -46,7 +48,7 @@ SAMPLE_BYTES = 2 << 20
 DICTIONARY_BYTES = 64 << 10
 READ_BYTES = 1 << 20
 _MANIFEST = "path string, records long, bytes long"
-_RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
+_RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, record_id string, refers_to_record string"
 
 
 def base32_sha1(data: bytes) -> str:
@@ -58,8 +60,9 @@ def _urn(page_id: int | None) -> str:
 
 
 def _of_urn(urn: str) -> int | None:
-    inner = urn.removeprefix("<urn:page:").removesuffix(">")
-    return int(inner) if inner else None
+    """The id in a name of this writer; others hold none."""
+    inner = urn.removeprefix("<urn:page:").removesuffix(">") if urn.startswith("<urn:page:") else ""
+    return int(inner) if inner.removeprefix("-").isdecimal() else None
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, is_revisit: bool, refers_to: int | None) -> bytes:
@@ -126,11 +129,22 @@ class _Source:
         raise ValueError("the archive ends inside a frame")
 
 
-def parsed(raw: bytes) -> dict:
-    """The checked content of one record."""
+class ArchiveError(ValueError):
+    """An archive or record that can't be read; names the archive and the number of the record."""
+
+
+def _checked_digest(stated: str | None, data: bytes, what: str) -> None:
+    """Digests are optional, and only SHA-1 in base 32 is checked."""
+    algorithm, _, value = (stated or "").partition(":")
+    if algorithm.lower() == "sha1" and len(value) == 32 and value.upper() != base32_sha1(data):
+        raise ValueError(f"the {what} does not have its digest")
+
+
+def parsed(raw: bytes) -> dict | None:
+    """The checked content of one record; None for kinds that hold no page (warcinfo, request, metadata and others)."""
     head, gap, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
-    if not gap or lines[0].encode() != VERSION:
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    if not gap or lines[0].encode() not in VERSIONS:
         raise ValueError(f"not a record of {VERSION.decode()}")
     headers = {}
     for line in lines[1:]:
@@ -141,44 +155,73 @@ def parsed(raw: bytes) -> dict:
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in headers:
             raise ValueError(f"a record lacks {name}")
+    if not headers["content-length"].isdecimal():
+        raise ValueError("Content-Length is not a number")
     length = int(headers["content-length"])
     block, end = rest[:length], rest[length:]
     if len(block) != length or end != b"\r\n\r\n":
         raise ValueError("Content-Length is not the length of the block")
-    if headers["warc-block-digest"] != "sha1:" + base32_sha1(block):
-        raise ValueError("the block does not have its digest")
-    http, gap, payload = block.partition(b"\r\n\r\n")
-    stated = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    digest, kind = headers["warc-payload-digest"].removeprefix("sha1:"), headers["warc-type"]
-    if kind == "response" and (len(payload) != stated or base32_sha1(payload) != digest):
-        raise ValueError("the payload does not have its length and digest")
-    if kind == "revisit" and (payload or "warc-refers-to" not in headers):
+    _checked_digest(headers.get("warc-block-digest"), block, "block")
+    kind = headers["warc-type"]
+    if kind not in ("response", "revisit"):
+        return None
+    http, _, payload = block.partition(b"\r\n\r\n")
+    lengths = [x.split(b":", 1)[1].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+    stated = int(lengths[0]) if lengths and lengths[0].isdigit() else None
+    held = headers.get("warc-payload-digest")
+    if kind == "response":
+        if stated is not None and len(payload) != stated:
+            raise ValueError("the payload does not have its length and digest")
+        _checked_digest(held, payload, "payload")
+    elif payload or "warc-refers-to" not in headers:
         raise ValueError("a revisit holds a payload or refers to nothing")
     return {
         "page_id": _of_urn(headers["warc-record-id"]),
-        "payload_bytes": stated,
-        "payload_digest": digest,
+        "payload_bytes": len(payload) if kind == "response" else stated,
+        "payload_digest": base32_sha1(payload) if kind == "response" else held and held.partition(":")[2].upper(),
         "record_type": kind,
         "refers_to": _of_urn(headers["warc-refers-to"]) if kind == "revisit" else None,
         "url": headers.get("warc-target-uri"),
         "payload": payload if kind == "response" else None,
+        "record_id": headers["warc-record-id"],
+        "refers_to_record": headers.get("warc-refers-to"),
     }
 
 
-def read_records(stream) -> Iterator[dict]:
-    """The records of one archive."""
+def read_records(stream, name: str = "the archive", own_dictionary: bool = True) -> Iterator[dict]:
+    """The pages of one archive. ``own_dictionary``: it must begin with its dictionary; else it may have none, or an uncompressed one."""
+    number = 0
+    try:
+        for raw in _frames(stream, own_dictionary):
+            number += 1
+            found = parsed(raw)
+            if found is not None:
+                yield found
+    except ValueError as e:
+        raise ArchiveError(f"{name}, record {number}: {e}") from e
+
+
+def _frames(stream, own_dictionary: bool) -> Iterator[bytes]:
     source = _Source(stream)
     start = source.read(8)
-    if len(start) < 8 or struct.unpack("<I", start[:4])[0] != DICTIONARY_MAGIC:
+    contexts = zstandard.ZstdDecompressor()
+    if len(start) == 8 and struct.unpack("<I", start[:4])[0] == DICTIONARY_MAGIC:
+        size = struct.unpack("<I", start[4:])[0]
+        held = source.read(size)
+        if len(held) != size:
+            raise ValueError("the archive ends inside its dictionary")
+        if held.startswith(ZSTD_MAGIC):
+            held = zstandard.ZstdDecompressor().decompress(held)
+        elif own_dictionary:
+            raise ValueError("the dictionary is not compressed")
+        if held:
+            contexts = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(held))
+    elif own_dictionary:
         raise ValueError("the archive does not begin with its dictionary")
-    size = struct.unpack("<I", start[4:])[0]
-    held = source.read(size)
-    if len(held) != size:
-        raise ValueError("the archive ends inside its dictionary")
-    dictionary = zstandard.ZstdDecompressor().decompress(held)
-    contexts = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdDecompressor()
+    else:
+        source.held = start + source.held
     while (raw := source.frame(contexts)) is not None:
-        yield parsed(raw)
+        yield raw
 
 
 def decided(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
@@ -249,6 +292,20 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
     return written(rows.mapInArrow(run, _MANIFEST), "manifest")
 
 
+def _pages_of(stream, path: str, own: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch | int]:
+    """The pages of an archive in batches of bounded size, and their number at the end."""
+    count, held, rows = 0, 0, []
+    for found in read_records(stream, path, own):
+        count, held = count + 1, held + len(found["payload"] or b"")
+        rows.append(found)
+        if held >= ARCHIVE_BYTES:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            held, rows = 0, []
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+    yield count
+
+
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """All records of the archives a manifest names, checked against its counts."""
     schema = to_arrow_schema(_parse_datatype_string(_RECORD))
@@ -257,23 +314,37 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
         store, _ = _store(folder)
         for batch in batches:
             for path, records in zip(batch["path"].to_pylist(), batch["records"].to_pylist(), strict=True):
-                count, held, rows = 0, 0, []
                 with store.open_input_stream(path, compression=None) as stream:
-                    for found in read_records(stream):
-                        count, held = count + 1, held + len(found["payload"] or b"")
-                        rows.append(found)
-                        if held >= ARCHIVE_BYTES:
-                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                            held, rows = 0, []
-                if count != records:
-                    raise ValueError(f"{path} holds {count} records, its manifest says {records}")
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    for found in _pages_of(stream, path, True, schema):
+                        if not isinstance(found, int):
+                            yield found
+                        elif found != records:
+                            raise ArchiveError(f"{path} holds {found} records, its manifest says {records}")
 
     n = max(1, manifest.count())
     return manifest.repartition(n).mapInArrow(run, _RECORD)
 
 
+def read_foreign(paths: DataFrame) -> DataFrame:
+    """The pages of archives by other writers, one task for each address in ``path``.
+
+    Optional headers may be missing, records of other kinds are passed over, a dictionary may be missing or not
+    compressed. Record names are kept in ``record_id`` and ``refers_to_record``; ``page_id`` and ``refers_to`` are null
+    unless they are names of this writer. ``payload_bytes`` and ``payload_digest`` of a revisit are null where it doesn't state them.
+    """
+    schema = to_arrow_schema(_parse_datatype_string(_RECORD))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch["path"].to_pylist():
+                store, place = _store(path)
+                with store.open_input_stream(place, compression=None) as stream:
+                    yield from (found for found in _pages_of(stream, path, False, schema) if not isinstance(found, int))
+
+    named = paths.select("path")
+    return named.repartition(max(1, named.count()), "path").mapInArrow(run, _RECORD)
+
+
 def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """Write all pages to archives in the shared folder and read them back: one row per record, payloads included."""
     folder = fresh_path(pages.sparkSession, "warc")

@@ -91,3 +91,48 @@ def test_dictionary_is_needed():
     assert [r["page_id"] for r in op.read_records(io.BytesIO(data))] == list(range(200))
     with pytest.raises(zstandard.ZstdError):
         list(op.read_records(io.BytesIO(op.leading_frame(b"") + data[len(op.leading_frame(dictionary)) :])))
+
+
+def foreign(kind, block, version=b"WARC/1.0", **headers):
+    lines = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{kind}>", "WARC-Date": "2020-01-01T00:00:00Z", **headers, "Content-Length": len(block)}
+    return version + b"\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in lines.items()) + b"\r\n" + block + b"\r\n\r\n"
+
+
+def others():
+    page = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n<p>y</p>"
+    return [
+        foreign("warcinfo", b"software: other"),
+        foreign("request", b"GET / HTTP/1.1\r\n\r\n"),
+        foreign("response", page, **{"WARC-Target-URI": "http://a/"}),
+        foreign("response", page, version=b"WARC/1.1", **{"WARC-Payload-Digest": "sha1:" + op.base32_sha1(b"<p>y</p>").lower(), "WARC-Block-Digest": "md5:00"}),
+        foreign("revisit", b"HTTP/1.1 200 OK\r\n\r\n", **{"WARC-Refers-To": "<urn:uuid:response>"}),
+    ]
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    records = others()
+    raw = zstandard.train_dictionary(4096, [r * 3 + bytes([i]) * 20 for i in range(40) for r in records]).as_bytes()
+    plain = b"".join(zstandard.ZstdCompressor().compress(r) for r in records)
+    packer = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw))
+    (tmp_path / "none.warc.zst").write_bytes(plain)
+    (tmp_path / "raw.warc.zst").write_bytes((0x184D2A5D).to_bytes(4, "little") + len(raw).to_bytes(4, "little") + raw + b"".join(map(packer.compress, records)))
+    paths = spark.createDataFrame([(str(p),) for p in tmp_path.iterdir()], "path string")
+    found = op.read_foreign(paths).collect()
+    assert len(found) == 6 and {r.page_id for r in found} == {None}
+    pages_ = [r for r in found if r.record_type == "response"]
+    assert {bytes(r.payload) for r in pages_} == {b"<p>y</p>"} and {r.payload_bytes for r in pages_} == {8} and {r.payload_digest for r in pages_} == {op.base32_sha1(b"<p>y</p>")}
+    again = [r for r in found if r.record_type == "revisit"]
+    assert {(r.payload_bytes, r.payload_digest, r.refers_to, r.refers_to_record) for r in again} == {(None, None, None, "<urn:uuid:response>")}
+
+
+def test_an_error_names_archive_and_record():
+    good, bad = others()[2], others()[3].replace(b"<p>y</p>", b"<p>z</p>")
+    data = b"".join(zstandard.ZstdCompressor().compress(r) for r in (good, bad))
+    with pytest.raises(op.ArchiveError, match="some.warc, record 2: the payload does not have its digest"):
+        list(op.read_records(io.BytesIO(data), "some.warc", own_dictionary=False))
+
+
+def test_a_long_payload(spark):
+    rows = [(1, "u", "long page " * 4_000_000), (2, "u", "short")]
+    found = {r.page_id: (r.payload_bytes, r.record_type) for r in op.archived(pages(spark, rows)).select("page_id", "payload_bytes", "record_type").collect()}
+    assert found == {1: (40_000_000, "response"), 2: (5, "response")}
