@@ -1,8 +1,8 @@
 """Packing documents into training sequences: first-fit decreasing in randomised groups of documents.
 
 Each document is encoded and cut into pieces of the full sequence length and one shorter rest. A full piece
-is a sequence of its own. The rests are dealt at random, but repeatably, to groups of about ``group_docs``
-documents; each group is packed by itself with first-fit decreasing, where a tournament tree over the free
+is a sequence of its own, numbered below zero, and goes nowhere. The rests, at most one of a document, are dealt at
+random, but repeatably, to groups of about ``group_docs``; each group is packed by itself with first-fit decreasing, where a tournament tree over the free
 space of the bins finds the first bin that fits in logarithmic time. A group is one bounded task; the number
 of groups grows with the table. Encoded pieces are written before they are dealt, so a lost executor
 never changes a group.
@@ -87,8 +87,10 @@ def packed(pieces: DataFrame, length: int = LENGTH, group_docs: int = GROUP_DOCS
     """Every piece with its ``sequence_id`` and ``offset``. ``pieces`` comes from :func:`encoded_pieces`."""
     # written: the row numbers that deal documents to groups must not change on a retry
     kept = written(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
-    groups = max(1, -(-kept.filter("start + length = doc_tokens").count() // group_docs))
-    dealt = kept.withColumn("grp", F.pmod(F.xxhash64(F.col("row"), F.lit(seed)), F.lit(groups)).cast("long"))
+    full = kept.filter(F.col("length") == length).withColumns({"sequence_id": -F.col("row") - 1, "offset": F.lit(0).cast("long")})
+    rests = kept.filter(F.col("length") < length)
+    groups = max(1, -(-rests.count() // group_docs))
+    dealt = rests.withColumn("grp", F.pmod(F.xxhash64(F.col("row"), F.lit(seed)), F.lit(groups)).cast("long"))
 
     def pack(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.take(np.lexsort((rows["start"].to_numpy(), rows["row"].to_numpy(), -rows["length"].to_numpy())))
@@ -103,7 +105,8 @@ def packed(pieces: DataFrame, length: int = LENGTH, group_docs: int = GROUP_DOCS
         columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
         return pa.Table.from_arrays([*rows.select(columns).columns, *placed, rows["ids"]], names=[*columns, "sequence_id", "offset", "ids"])
 
-    return dealt.groupBy("grp").applyInArrow(pack, _PLACED)
+    placed = dealt.groupBy("grp").applyInArrow(pack, _PLACED)
+    return placed.unionByName(full.select(*placed.columns))
 
 
 def padded_length(fill: Column, length: int = LENGTH) -> Column:

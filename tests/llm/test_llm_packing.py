@@ -91,3 +91,12 @@ def test_whole_table(spark, sf, tokenizer):
     held_to(found, [(r["doc_id"], r["text"]) for r in docs.collect()], tokenizer, 2048)
     total = sum(r["length"] for r in found)
     assert len({r["sequence_id"] for r in found}) * 2048 < 1.02 * total + 2048
+
+
+def test_full_pieces_are_not_grouped(spark):
+    """Few documents of many pieces: no group holds more than one rest of each."""
+    docs = spark.createDataFrame([(i, "word " * 3000) for i in range(6)], "doc_id long, text string")
+    found = op.packed_documents(docs, PATH, length=64, group_docs=2, with_ids=False).collect()
+    full = [r for r in found if r["length"] == 64]
+    assert len(full) >= 6 * 45 and len({r["sequence_id"] for r in full}) == len(full) and all(r["offset"] == 0 and r["sequence_id"] < 0 for r in full)
+    assert len({r["sequence_id"] >> 32 for r in found if r["length"] < 64}) > 1
