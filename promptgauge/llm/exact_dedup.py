@@ -12,8 +12,8 @@ aggregates with map-side combining and in equi-joins against unique names, whose
 execution splits.
 
 Defined results: null text is the empty text, and empty texts are equal to each other. A null id counts as
-smaller than any other. Of rows with the same id and equal texts one is kept. An empty table gives an
-empty table. Columns other than the two named ones play no part.
+smaller than any other. Of rows with the same id and equal texts one is kept, the first by its columns as
+JSON. An empty table gives an empty table. Columns other than the two named ones play no part else.
 """
 
 from __future__ import annotations
@@ -101,6 +101,6 @@ def without_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col:
     stay = stay.select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"), F.col("n_rows").alias("__n"))
     sha = F.unhex(F.sha2(ascii_lower(F.col(text_col).cast("string")).cast("binary"), 256))
     found = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (sha == F.col("__sha")))
-    one = Window.partitionBy("__id", "__sha").orderBy("__n")
+    one = Window.partitionBy("__id", "__sha").orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
     repeated = found.filter("__n > 1").withColumn("__at", F.row_number().over(one)).filter("__at = 1")
     return same_columns(found.filter("__n = 1"), docs).unionByName(same_columns(repeated, docs))

@@ -2,8 +2,8 @@
 
 Each url is expanded into its host suffixes times its path prefixes (up to the depth that any rule has).
 Expressions and rules meet in an equi-join on the first four bytes of their SHA-256; a match counts only
-when the whole digests agree. Of the confirmed rules the longest expression wins; a url without one
-gets the default verdict. The rule table is data: the join strategy is Spark's choice by its size.
+when the whole digests agree. Of the confirmed rules the longest expression wins, of equally long ones the greatest in
+code-point order; a url without one gets the default verdict. The rule table is data: the join strategy is Spark's choice by its size.
 
 Rules: ``action`` (allow or block), ``host``, ``path``; a path must begin and end in ``/``, other rules raise an error.
 If two rules state the same host and path, block wins. Null rules are ignored.
@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from promptgauge.llm.columns import ascii_lower
+from promptgauge.session import spread
 
 PREFIX_BYTES = 4
 ALLOW, BLOCK = "allow", "block"
@@ -71,9 +72,9 @@ def judged_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     host, path = host_and_path(F.col("url"))
     urls = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
     # equal (host, path) pairs are judged once, however many pages have them
-    distinct = urls.select("host", "path").distinct()
+    distinct = spread(urls.select("host", "path").distinct(), "host", "path")  # few bytes that the expansion multiplies
     expanded = _digested(distinct.select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), labels, segments)).alias("expression")), "expression")
     hits = expanded.join(table.withColumnRenamed("digest", "full"), "prefix").filter(F.col("digest") == F.col("full"))
-    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "action"), F.length("rule")).alias("best"))
+    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "action"), F.struct(F.length("rule"), "rule")).alias("best"))
     judged = urls.join(best, ["host", "path"], "left")
     return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))

@@ -67,3 +67,9 @@ def test_one_large_group(spark):
 def test_plan_has_no_python(spark):
     plan = op.exact_duplicates(documents(spark, ODD[:4]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_the_row_kept_of_a_repeated_id_is_the_same_each_time(spark):
+    docs = spark.createDataFrame([(1, t, n) for n in range(9) for t in ("Abc", "ABC")], "doc_id long, text string, size long")
+    for parts in (1, 3, 8):
+        assert [tuple(r) for r in op.without_exact_duplicates(docs.repartition(parts)).collect()] == [(1, "ABC", 0)]

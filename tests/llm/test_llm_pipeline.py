@@ -55,7 +55,7 @@ def test_stages_take_an_empty_table(spark, sf):
 
 def test_registered():
     names = set(entry_point.queries())
-    assert {n.split("_")[0] for n in queries.registered()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.registered()} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.registered()) | {"pipeline"} <= names and set(oracles.ORACLES) <= set(queries.registered())
 
 

@@ -77,3 +77,12 @@ def test_plan_has_no_python(spark):
     pages = spark.createDataFrame([(1, "http://a.com/x/")], "page_id long, url string")
     plan = op.judged_urls(pages, rules(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_of_equally_long_rules_the_greatest_wins(spark):
+    rules = [("allow", "a.com", "/b/"), ("block", "com", "/b/c/"), ("allow", "x.org", "/y/"), ("block", "org", "/y/zz/"), ("allow", "w.x.org", "/"), ("block", "org", "/yz/")]
+    table = spark.createDataFrame(rules, "action string, host string, path string")
+    pages = spark.createDataFrame([(1, "http://a.com/b/c/d"), (2, "http://www.x.org/yz/")], "page_id long, url string")
+    for parts in (1, 4):
+        found = {r.page_id: (r.rule, r.verdict) for r in op.judged_urls(pages.repartition(parts), table.repartition(parts)).collect()}
+        assert found == {1: ("com/b/c/", "block"), 2: ("org/yz/", "block")}
