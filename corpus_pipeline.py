@@ -4,7 +4,7 @@ toxicity      documents scored toxic go
 exact dedup   of equal texts the one with the largest id stays
 SimHash       of documents with linked fingerprints the one with the smallest id stays
 PII           identifiers are replaced by their kind
-packing       what is left is encoded and packed; one row per piece
+packing       what is left is encoded and packed; one row per piece, with its token ids
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False).drop("ids")
+    return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -9,7 +9,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def test_registry():
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
     numbers = {int(n[1:]) for name in entry_point.queries() for n in name.split("_") if n[:1] == "o" and n[1:].isdigit()}
-    assert {n for n in range(1, 56)} - numbers <= {11, 13, 28, 30}
+    assert {n for n in range(1, 56)} <= numbers
 
 
 def test_entry(spark):
