@@ -42,7 +42,7 @@ SHINGLE = 3
 MAX_BITS = 2
 SEED = 42
 CHUNK = 1 << 15
-LIST = 64
+LIST = 8
 PAIRWISE = 64
 BYTES = 8
 _PLACES = np.arange(8, dtype=np.intp) * 256
