@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from promptgauge.operators import evaluate, keyed_models
 from promptgauge.operators.keyed_models import kmeans_clusters, logistic_models, logistic_predictions
