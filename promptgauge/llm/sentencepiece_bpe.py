@@ -10,8 +10,9 @@ Spaces become the model's space mark, and one mark leads the text. Characters th
 and a literal space mark in the text, are spelled in bytes, so decoding always returns the text.
 
 No piece of such a model has a space mark after another character; texts are therefore cut before each run of
-spaces. The merges of each distinct chunk without dropout are kept in a bounded cache, one per worker process; for
-every occurrence each of them is drawn, and only where one is skipped is the chunk merged anew.
+spaces, and between Latin letters and other characters if no piece of the model has both. The agenda of a chunk is a path of merges until the first skipped one, and from there the path of the chunk
+without that merge. Such paths are kept in a bounded cache, one per worker process; every occurrence of a chunk
+draws the merges of its path and goes on to the next one where a merge is skipped.
 
 Defined results: null and empty texts have no pieces and decode to the empty text. A document is its id, null
 included, and its text; rows equal in both have equal pieces. The variant is a hash of the id that stands beside
@@ -24,7 +25,7 @@ import heapq
 import re
 import zlib
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from itertools import chain, repeat
 
 import numpy as np
@@ -38,12 +39,13 @@ MARK = "▁"
 DROPOUT = 0.1
 VARIANTS = 8
 SEED = 5
-CACHE_CHUNKS = 800_000
+CACHE_PATHS = 1_000_000
 SHORT = 80
 TOGETHER = 50_000
 AT_ONCE = 200_000
 _CHUNK = re.compile(" *[^ ]+| +")
-_LAST = 1 << 40
+_FINER = re.compile(" *(?:[A-Za-z\u00C0-\u024F]+|[^ A-Za-z\u00C0-\u024F]+)| +")
+_LAST = (1 << 31) - 1
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 
 
@@ -68,14 +70,75 @@ class Rows:
         self.used += len(flat)
         self.count += len(sizes)
 
-    def gathered(self, at: np.ndarray, more: Rows | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The rows of these numbers, one behind the other, and their sizes; the rows of ``more`` are numbered on."""
-        flat, sizes = self.flat[: self.used], self.sizes[: self.count]
-        if more is not None:
-            flat, sizes = np.r_[flat, more.flat[: more.used]], np.r_[sizes, more.sizes[: more.count]]
+    def places(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the values of the rows of these numbers are in ``flat``, and the rows' sizes."""
+        sizes = self.sizes[: self.count]
         starts, wanted = np.cumsum(sizes) - sizes, sizes[at]
         before = np.cumsum(wanted) - wanted
-        return flat[np.repeat(starts[at] - before, wanted) + np.arange(wanted.sum())], wanted
+        return np.repeat(starts[at] - before, wanted) + np.arange(wanted.sum()), wanted
+
+
+class Paths:
+    """Agendas of chunks, each a path of merges that none of is skipped, by number.
+
+    A path belongs to a chunk and to the merges skipped in it so far. It has the ids it ends with, its merges in order and,
+    for each of these, the number of the path where that merge is skipped too (-1 while it isn't known).
+    """
+
+    def __init__(self, model: MergeModel):
+        self.model = model
+        self.ids, self.merges, self.skipping = Rows(np.uint32), Rows(np.uint64), Rows(np.int32)
+        self.parent, self.left = Rows(np.int32), Rows(np.int64)  # the path left, and the place of the merge skipped there
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.chunks: list[str] = []
+        for rows in (self.ids, self.merges, self.skipping, self.parent, self.left):
+            rows.clear()
+
+    def _add(self, chunks: list[str], parent: np.ndarray, left: np.ndarray) -> None:
+        without = []  # by number of merges skipped, the last one first
+        at, above = left, parent
+        while len(at) and at[0] >= 0:  # paths made together have skipped equally many
+            without.append(self.merges.flat[at])
+            at, above = self.left.flat[above], self.parent.flat[above]
+        for i in range(0, len(chunks), TOGETHER):
+            part, made = chunks[i : i + TOGETHER], []
+            self.ids.add(*self.model.merged_rows(part, 0, made, [w[i : i + TOGETHER] for w in without]))
+            owner, named = (np.concatenate([m[j] for m in made] or [np.array([], kind)]) for j, kind in enumerate((np.int32, np.uint64)))
+            counts = np.bincount(owner, minlength=len(part))
+            self.merges.add(named[np.argsort(owner, kind="stable")], counts)
+            self.skipping.add(np.full(len(named), -1), counts)
+        ones = np.ones(len(chunks), np.int64)
+        self.parent.add(parent, ones)
+        self.left.add(left, ones)
+        self.chunks += chunks
+
+    def of_chunks(self, chunks: list[str]) -> np.ndarray:
+        """The path of each chunk without dropout; -1 for those that are long or have a literal mark."""
+        missing = sorted(c for c in set(chunks).difference(self.number) if len(c) <= SHORT and MARK not in c)
+        self.number.update(zip(missing, range(len(self.chunks), len(self.chunks) + len(missing)), strict=True))
+        none = np.full(len(missing), -1)
+        self._add([c.replace(" ", MARK) for c in missing], none, none)
+        return np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
+
+    def drawn(self, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The path that each chunk ends on, drawn with its key."""
+        at, on = at.copy(), np.nonzero(at >= 0)[0]
+        while len(on):
+            places, counts = self.merges.places(at[on])
+            owner = np.repeat(on, counts)
+            skipped = np.nonzero(self.model.drawn(self.merges.flat[places], keys[owner]))[0]
+            first = skipped[np.r_[True, owner[skipped[1:]] != owner[skipped[:-1]]][: len(skipped)]]
+            on, left = owner[first], places[first]
+            missing = np.nonzero(self.skipping.flat[left] < 0)[0]
+            wanted, one = np.unique(left[missing], return_index=True)
+            parent = at[on[missing[one]]]
+            self.skipping.flat[wanted] = np.arange(len(self.chunks), len(self.chunks) + len(wanted))
+            self._add([self.chunks[k] for k in parent.tolist()], parent, wanted)
+            at[on] = self.skipping.flat[left]
+        return at
 
 
 class MergeModel:
@@ -101,13 +164,15 @@ class MergeModel:
             raise ValueError("the model cannot spell every byte, so not every text would decode to itself")
         if any(MARK in p.lstrip(MARK) for p in self.number):
             raise ValueError("a piece has a space mark inside")
+        # Latin letters and other characters are cut apart where no piece holds both
+        self.cut = _CHUNK if any(len(_FINER.findall(p.lstrip(MARK))) > 1 for p in self.number) else _FINER
         self.limit, self.seed = int(dropout * (1 << 24)), seed
         self._tables()
 
     def _tables(self) -> None:
         """Arrays for merging many chunks at once: ids of characters, pieces and ranks of pairs."""
         size = len(self.shown)
-        self.of_char = np.full(0x110000, -1, dtype=np.int64)
+        self.of_char = np.full(0x110000, -1, dtype=np.int32)
         pairs = []
         for piece, n in self.number.items():
             if len(piece) == 1:
@@ -117,30 +182,31 @@ class MergeModel:
                 if left is not None and right is not None:
                     pairs.append((left * size + right, n))
         found = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
-        self.pair_keys, self.pair_piece = np.ascontiguousarray(found[:, 0]), np.ascontiguousarray(found[:, 1])
+        self.pair_keys, self.pair_piece = np.ascontiguousarray(found[:, 0]), found[:, 1].astype(np.int32)
         ranks = {r: i for i, r in enumerate(sorted(set(self.rank.values())))}
-        self.order, self.length = np.full(size, _LAST, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        self.order, self.length = np.full(size, _LAST, dtype=np.int32), np.zeros(size, dtype=np.int32)
         for piece, n in self.number.items():
             self.order[n], self.length[n] = ranks[self.rank[piece]], len(piece)
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The piece that each pair makes, and its rank; ``_LAST`` where it makes none."""
-        wanted = left * len(self.shown) + right
+        wanted = left.astype(np.int64) * len(self.shown) + right
         at = np.minimum(np.searchsorted(self.pair_keys, wanted), len(self.pair_keys) - 1)
         piece = self.pair_piece[at]
         makes = (self.pair_keys[at] == wanted) & (left >= 0) & (right >= 0)
-        return piece, np.where(makes, self.order[piece], _LAST)
+        return piece, np.where(makes, self.order[piece], np.int32(_LAST))
 
     def skipped(self, key: int, piece, place, left):
         """Whether the merge to ``piece`` at ``place``, from a left part of ``left`` characters, is dropped. For arrays."""
-        return self._drawn(self._named(piece, place, left), np.uint64(key))
+        return self.drawn(self._named(piece, place, left), np.uint64(key))
 
     @staticmethod
     def _named(piece, place, left):
         """A merge as a number, to be drawn with the key of a chunk."""
         return piece.astype(np.uint64) * _MIX[0] + place.astype(np.uint64) * _MIX[1] + left.astype(np.uint64) * _MIX[2]
 
-    def _drawn(self, named, key):
+    def drawn(self, named, key):
+        """Whether merges, as numbers, are skipped with the keys of their chunks."""
         mixed = (named ^ key) * _MIX[3]
         return ((mixed ^ mixed >> np.uint64(29)) * _MIX[4] >> np.uint64(40)).astype(np.int64) < self.limit
 
@@ -156,19 +222,20 @@ class MergeModel:
         mixed = (mixed ^ mixed >> np.uint64(27)) * _MIX[4]
         return mixed ^ mixed >> np.uint64(31)
 
-    def merged_rows(self, chunks: list[str], key: int | np.ndarray, made: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def merged_rows(self, chunks: list[str], key: int | np.ndarray, made: list | None = None, without: Sequence[np.ndarray] = ()) -> tuple[np.ndarray, np.ndarray]:
         """The ids of many chunks whose spaces are marks, one behind the other, and how many each has; with one key or one for each.
 
-        Each round settles the best candidate of every chunk's agenda. With a list for ``made`` no merge is
-        skipped, and the list gets the chunk and the number of all merges, round by round.
+        Each round settles the best candidate of every chunk's agenda. With a list for ``made`` no merges are
+        skipped but those of ``without`` (numbers of merges, one for each chunk), and the list gets the chunk and the
+        number of all merges, round by round.
         """
         key = np.broadcast_to(np.asarray(key, dtype=np.uint64), len(chunks))
         sizes = np.array([len(c) for c in chunks], dtype=np.int64)
-        chars = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4").astype(np.int64)
+        chars = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4").astype(np.int32)
         symbol = np.where(self.of_char[chars] >= 0, self.of_char[chars], -1 - chars)  # unknown characters are negative
-        owner = np.repeat(np.arange(len(chunks)), sizes)
-        place = np.arange(len(symbol)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        piece, rank = self._pairs(symbol, np.r_[symbol[1:], -1])
+        owner = np.repeat(np.arange(len(chunks), dtype=np.int32), sizes)
+        place = np.arange(len(symbol), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
+        piece, rank = self._pairs(symbol, np.r_[symbol[1:], symbol[:1]])
         rank[np.r_[owner[1:] != owner[:-1], True]] = _LAST
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbol):
@@ -183,7 +250,12 @@ class MergeModel:
             at = np.nonzero(rank == np.repeat(best, counts))[0]
             at = at[np.r_[True, owner[at[1:]] != owner[at[:-1]]][: len(at)]]  # the leftmost of each chunk
             if made is not None:
-                made.append((owner[at], self._named(piece[at], place[at], self.length[symbol[at]])))
+                named, drop = self._named(piece[at], place[at], self.length[symbol[at]]), np.zeros(len(at), dtype=bool)
+                for w in without:
+                    drop |= w[owner[at]] == named
+                rank[at[drop]] = _LAST
+                at = at[~drop]
+                made.append((owner[at], named[~drop]))
             elif self.limit:
                 drop = self.skipped(key[owner[at]], piece[at], place[at], self.length[symbol[at]])
                 rank[at[drop]] = _LAST
@@ -198,7 +270,7 @@ class MergeModel:
                 right = np.minimum(i + 1, last)
                 piece[i], rank[i] = self._pairs(symbol[i], symbol[right])
                 rank[i[(i == last) | (owner[i] != owner[right])]] = _LAST
-        owners, symbols = (np.concatenate([d[j] for d in done] or [np.array([], np.int64)]) for j in (0, 1))
+        owners, symbols = (np.concatenate([d[j] for d in done] or [np.array([], np.int32)]) for j in (0, 1))
         order = np.argsort(owners, kind="stable")
         owners, symbols = owners[order], symbols[order]
         unknown = np.nonzero(symbols < 0)[0]
@@ -260,47 +332,32 @@ class MergeModel:
             found += [self.number.get(p, p) for p in self.merged(part.replace(" ", MARK), own)] if part else []
         return self._spelled(found)
 
-    def undropped(self, chunks: list[str], ids: Rows, merges: Rows) -> None:
-        """Adds the ids of chunks without dropout, and the numbers of the merges that make them."""
-        for i in range(0, len(chunks), TOGETHER):
-            part, made = chunks[i : i + TOGETHER], []
-            ids.add(*self.merged_rows([c.replace(" ", MARK) for c in part], 0, made))
-            owner, named = (np.concatenate([m[j] for m in made] or [np.array([], kind)]) for j, kind in enumerate((np.int64, np.uint64)))
-            merges.add(named[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(part)))
-
     def encoder(self) -> Callable[[list[str], list[int]], list[np.ndarray]]:
         """Encodes texts, each with the number of its document."""
-        known: dict[str, int] = {}
-        ids, merges = Rows(np.uint32), Rows(np.uint64)
+        paths = Paths(self)
 
         def some(chunks: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            if len(known) > CACHE_CHUNKS:
-                known.clear()
-                ids.clear()
-                merges.clear()
-            missing = sorted(c for c in set(chunks).difference(known) if len(c) <= SHORT and MARK not in c)
-            self.undropped(missing, ids, merges)
-            known.update(zip(missing, range(len(known), len(known) + len(missing)), strict=True))
-            at = np.fromiter(map(known.get, chunks, repeat(-1)), np.int64, len(chunks))
-            alone, together = np.nonzero(at < 0)[0], np.nonzero(at >= 0)[0]  # long or with a literal mark; all others
-            again = alone[:0]
+            if len(paths.chunks) > CACHE_PATHS:
+                paths.clear()
+            at = paths.of_chunks(chunks)
             if self.limit:
-                drawn, counts = merges.gathered(at[together])
-                owner = np.repeat(together, counts)
-                skipped = owner[self._drawn(drawn, keys[owner])]
-                again = skipped[np.r_[True, skipped[1:] != skipped[:-1]][: len(skipped)]]
-            new = Rows(np.uint32)
-            for i in range(0, len(again), TOGETHER):
-                part = again[i : i + TOGETHER]
-                new.add(*self.merged_rows([chunks[k].replace(" ", MARK) for k in part.tolist()], keys[part]))
-            for k in alone.tolist():
-                one = np.frombuffer(self.ids(chunks[k], int(keys[k])), "<u4")
-                new.add(one, np.array([len(one)]))
-            at[np.r_[again, alone]] = ids.count + np.arange(new.count)
-            return ids.gathered(at, new)
+                at = paths.drawn(at, keys)
+            known = np.nonzero(at >= 0)[0]
+            places, sizes = paths.ids.places(at[known])
+            flat = paths.ids.flat[places]
+            if len(known) == len(chunks):
+                return flat, sizes
+            alone = np.nonzero(at < 0)[0]  # long or with a literal mark
+            own = [np.frombuffer(self.ids(chunks[k], int(keys[k])), "<u4") for k in alone.tolist()]
+            counts = np.zeros(len(chunks), np.int64)
+            counts[known], counts[alone] = sizes, list(map(len, own))
+            every = np.empty(counts.sum(), np.uint32)
+            of_known = np.repeat(at >= 0, counts)
+            every[of_known], every[~of_known] = flat, np.concatenate(own)
+            return every, counts
 
         def encode(texts: list[str], documents: list[int]) -> list[np.ndarray]:
-            cuts = [_CHUNK.findall(" " + t) if t else [] for t in texts]
+            cuts = [self.cut.findall(" " + t) if t else [] for t in texts]
             counts = list(map(len, cuts))
             chunks, keys = list(chain.from_iterable(cuts)), self.keys(documents, counts)
             parts = [some(chunks[k : k + AT_ONCE], keys[k : k + AT_ONCE]) for k in range(0, len(chunks), AT_ONCE)]

@@ -53,7 +53,7 @@ def test_repeated_words_are_cut_in_several_ways():
 def test_encoder_is_each_chunk_by_its_key(texts):
     model = op.MergeModel(PATH, 0.2)
     documents = [i * 7919 - 5 for i in range(len(texts))]
-    cuts = [op._CHUNK.findall(" " + t) if t else [] for t in texts]
+    cuts = [model.cut.findall(" " + t) if t else [] for t in texts]
     keys = iter(model.keys(documents, list(map(len, cuts))).tolist())
     expected = [b"".join(model.ids(c, next(keys)) for c in cut) for cut in cuts]
     assert [i.tobytes() for i in model.encoder()(texts, documents)] == expected
