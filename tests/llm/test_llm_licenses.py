@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -64,3 +65,45 @@ def test_copies_far_apart_have_a_span_each(spark):
 
 def test_empty_table(spark):
     assert op.license_scan(documents(spark, [])).collect() == []
+
+
+def altered(words, rng, share=0.06):
+    """The words with some put in, left out and changed."""
+    out = []
+    for w in words:
+        kind = rng.random() / share
+        out += [w] if kind >= 3 else [] if kind < 1 else ["zzyzx"] if kind < 2 else [w, "zzyzx"]
+    return out
+
+
+@pytest.mark.parametrize("label, least_words", [("mit", 160), ("bsd", 190), ("isc", 110)])
+def test_whole_licenses_with_edits(spark, label, least_words):
+    body = max(op.TEMPLATES[label], key=len).split()
+    assert len(body) >= least_words
+    rng = random.Random(label)
+    texts = ["lorem " * 40 + " ".join(words) + " ipsum" * 40 for words in (body, altered(body, rng), altered(body, rng), body[: len(body) // 8])]
+    found = {r["doc_id"]: r for r in op.license_scan(documents(spark, list(enumerate(texts)))).collect()}
+    assert all(found[i]["labels"] == label and found[i]["score"] > 0.75 for i in (0, 1, 2))
+    assert found[0]["score"] == 1
+    for i in (0, 1, 2):
+        widest = max(found[i]["spans"], key=lambda s: s["high"] - s["low"])
+        end = len(op.words_of(texts[i])) - 40
+        assert 40 <= widest["low"] <= 50 and end - 10 <= widest["high"] <= end, (label, widest)
+
+
+def test_votes_and_merged_diagonals_by_hand(spark):
+    rng = random.Random(9)
+    rows = sorted({(rng.randint(1, 3), rng.randint(1, 2), rng.choice("ab"), rng.randint(0, 1), rng.randint(0, 120), rng.randint(0, 30)) for _ in range(500)})
+    hits = spark.createDataFrame(rows, "doc_id long, digest long, label string, template int, place int, at int")
+    got = sorted(tuple(r) for r in op.candidate_spans(hits, near=1, votes=2).select("doc_id", "digest", "label", "template", "votes", "low", "high").collect())
+    expected, copies = [], {}
+    for *copy, place, at in rows:
+        copies.setdefault(tuple(copy), []).append((place - at, place))
+    for copy, met in copies.items():
+        runs = []
+        for diagonal, place in sorted(met):
+            if not runs or diagonal - runs[-1][-1][0] > 1:
+                runs.append([])
+            runs[-1].append((diagonal, place))
+        expected += [(*copy, len(run), min(p for _, p in run), max(p for _, p in run)) for run in runs if len(run) >= 2]
+    assert got == sorted(expected) and len(got) > 30
