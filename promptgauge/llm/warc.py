@@ -47,6 +47,8 @@ ARCHIVE_BYTES = 32 << 20
 SAMPLE_BYTES = 2 << 20
 DICTIONARY_BYTES = 64 << 10
 READ_BYTES = 1 << 20
+BATCH_BYTES = 2 << 20  # payloads a reading task holds before it hands them on
+ROWS_AT_ONCE = 16  # rows of an Arrow batch that are Python objects at once
 _MANIFEST = "path string, records long, bytes long"
 _RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, record_id string, refers_to_record string"
 
@@ -259,8 +261,9 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
 
         def records() -> Iterator[bytes]:
             for batch in batches:
-                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    yield record(*row)
+                for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                    for row in zip(*(c.to_pylist() for c in batch.slice(at, ROWS_AT_ONCE).columns), strict=True):
+                        yield record(*row)
 
         source, ended = records(), False
         while not ended:
@@ -298,7 +301,7 @@ def _pages_of(stream, path: str, own: bool, schema: pa.Schema) -> Iterator[pa.Re
     for found in read_records(stream, path, own):
         count, held = count + 1, held + len(found["payload"] or b"")
         rows.append(found)
-        if held >= ARCHIVE_BYTES:
+        if held >= BATCH_BYTES:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
             held, rows = 0, []
     if rows:

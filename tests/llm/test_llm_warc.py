@@ -136,3 +136,15 @@ def test_a_long_payload(spark):
     rows = [(1, "u", "long page " * 4_000_000), (2, "u", "short")]
     found = {r.page_id: (r.payload_bytes, r.record_type) for r in op.archived(pages(spark, rows)).select("page_id", "payload_bytes", "record_type").collect()}
     assert found == {1: (40_000_000, "response"), 2: (5, "response")}
+
+
+def test_a_reading_task_holds_few_payloads(spark):
+    """Pages leave the reader in batches of a few MB, however large their archive is."""
+    rows = [(i, "u", f"{i:07d}" * 100_000) for i in range(20)]
+    folder = fresh_path(spark, "warc")
+    (path,) = [r["path"] for r in op.write_archives(op.decided(pages(spark, rows).coalesce(1)).coalesce(1), folder).collect()]
+    schema = op.to_arrow_schema(op._parse_datatype_string(op._RECORD))
+    with open(path.removeprefix("file:"), "rb") as stream:
+        *batches, count = op._pages_of(stream, path, True, schema)
+    assert count == len(rows) == sum(b.num_rows for b in batches)
+    assert max(b.nbytes for b in batches) < 4 << 20
