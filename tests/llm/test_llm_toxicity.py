@@ -118,3 +118,18 @@ def test_toxic_texts_that_are_all_long_are_learnt(spark):
     assert model is not None and max(len(t) for t, (_, _, y) in zip((r[1] for r in rows), rows) if y) > 1000
     scores = {r["doc_id"]: r["score"] for r in op.toxicity_scores(docs, model).collect()}
     assert auc(np.array([scores[i] for i, _, _ in rows]), np.array([y for _, _, y in rows])) > 0.9
+
+
+def test_whole_texts_of_all_shards_are_learnt(spark):
+    """Toxic words stand at the end of long texts only, and the rows lie in several shards."""
+    rows = [(i, "the river " * 2500 + t, y) for i, t, y in corpus(240, 5)]
+    docs, labels = documents(spark, [r[:2] for r in rows]), spark.createDataFrame([(i, 1, y, "x") for i, _, y in rows], LABELS)
+    model = op.fit(docs, labels, **({"shard_chars": 2_500_000} if hasattr(op, "SHARD_CHARS") else {}))
+    found = {r["doc_id"]: r["score"] for r in op.toxicity_scores(docs, model).collect()}
+    held = [(found[i], y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert auc(*map(np.array, zip(*held))) > 0.8
+
+
+def test_a_pass_meets_every_row():
+    drawn = op._passed(np.random.default_rng(1), np.arange(40), 45)
+    assert len(drawn) == 45 and set(drawn.tolist()) == set(range(40))
