@@ -23,6 +23,8 @@ QUERY_BLOCK = 2_048
 CORPUS_BLOCK = 16_384
 SENT_BYTES = 32 << 20  # most bytes of vectors that are sent to every task
 AT_ONCE = 1 << 22  # similarities worked on at once
+STRETCH = 64  # scores of a row of which the largest is looked at first
+CROWDED = 50  # times k candidates from which on a row is sorted as a whole
 
 
 def unit(matrix: np.ndarray) -> np.ndarray:
@@ -41,8 +43,37 @@ def _numbers(ids: pa.Array) -> np.ndarray:
     return held
 
 
-def _top(scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best of each row, best first; lower places first among equals."""
+def _top(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and rounded scores of the k best of each row, best first; lower places first among equals once rounded.
+
+    The k-th largest of the maxima of parts of a row is no larger than its k-th largest score, so that one pass finds
+    few candidates and only these are rounded and sorted. Rows with many near that bound are sorted as a whole.
+    """
+    m, n = scores.shape
+    k = min(k, n)
+    n_parts = n // STRETCH
+    if n_parts < 4 * k:
+        scores = np.round(scores, DIGITS)
+        at = _sorted_top(scores, k)
+        return at, np.take_along_axis(scores, at, axis=1)
+    maxima = scores[:, : STRETCH * n_parts].reshape(m, STRETCH, n_parts).max(axis=1)
+    bound = np.partition(maxima, n_parts - k, axis=1)[:, n_parts - k] - 2 * 10.0**-DIGITS
+    row, at = np.divmod(np.flatnonzero(scores >= bound[:, None]), n)
+    counts = np.bincount(row, minlength=m)
+    crowded = (counts > CROWDED * k) | np.isnan(maxima).any(axis=1) | np.isnan(scores[:, STRETCH * n_parts :]).any(axis=1)
+    if crowded.any():
+        places, values = np.empty((m, k), dtype=np.int64), np.empty((m, k))
+        whole = np.round(scores[crowded], DIGITS)
+        places[crowded] = _sorted_top(whole, k)
+        values[crowded] = np.take_along_axis(whole, places[crowded], axis=1)
+        places[~crowded], values[~crowded] = _top(scores[~crowded], k)
+        return places, values
+    value = np.round(scores[row, at], DIGITS)
+    order = np.lexsort((at, -value, row))[(np.cumsum(counts) - counts)[:, None] + np.arange(k)]
+    return at[order], value[order]
+
+
+def _sorted_top(scores: np.ndarray, k: int) -> np.ndarray:
     n = scores.shape[1]
     ranked = np.rint(np.nan_to_num(scores, neginf=-2.0) * 10**DIGITS).astype(np.int64) * n + (n - 1 - np.arange(n))
     if k < n:
@@ -138,11 +169,13 @@ def _answers(batch: pa.RecordBatch, sides: dict[tuple, _Side], k: int, n_keys: i
         for first in range(0, len(rows), step):
             part = pa.array(rows[first : first + step])
             ids = batch.column(n_keys).take(part)
-            scores = np.round(unit(_matrix(batch.column(n_keys + 1).take(part))) @ side.units.T, DIGITS)
+            scores = unit(_matrix(batch.column(n_keys + 1).take(part))) @ side.units.T
             if exclude_self:
-                scores[_numbers(ids)[:, None] == side.ids[None, :]] = -np.inf
-            top = _top(scores, k)
-            value = np.take_along_axis(scores, top, axis=1).ravel()
+                own = _numbers(ids)  # the ids of the side are in order
+                for i, (low, high) in enumerate(zip(np.searchsorted(side.ids, own, "left"), np.searchsorted(side.ids, own, "right"))):
+                    scores[i, low:high] = -np.inf
+            top, value = _top(scores, k)
+            value = value.ravel()
             keep = np.isfinite(value)
             query = np.repeat(np.arange(len(part)), top.shape[1])[keep]
             rank = np.tile(np.arange(1, top.shape[1] + 1, dtype=np.int32), len(part))[keep]
@@ -186,11 +219,11 @@ def _searched_in_place(left: DataFrame, right: DataFrame, k: int, n_keys: int, e
                 parts = []
                 step = max(1, AT_ONCE // len(found.ids))
                 for first in range(0, len(side.ids), step):
-                    scores = np.round(side.units[first : first + step] @ found.units.T, DIGITS)
+                    scores = side.units[first : first + step] @ found.units.T
                     if exclude_self:
                         scores[side.ids[first : first + step, None] == found.ids[None, :]] = -np.inf
-                    top = _top(scores, k)
-                    parts.append((np.take_along_axis(scores, top, axis=1), found.ids[top]))
+                    top, value = _top(scores, k)
+                    parts.append((value, found.ids[top]))
                 now = tuple(np.concatenate(p) for p in zip(*parts, strict=True))
                 best[key] = merged(best[key], now) if key in best else now
         for key, (scores, ids) in best.items():

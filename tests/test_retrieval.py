@@ -76,3 +76,22 @@ def test_nothing_to_search(spark):
     asked = right.withColumnRenamed("doc_id", "query_id")
     assert nearest(left, right, 3).collect() == [] and nearest(asked, right.limit(0), 3).collect() == []
     assert [(r.query_id, r.doc_id, r.similarity, r["rank"]) for r in nearest(asked, right, 3).collect()] == [(1, 1, 1.0, 1)]
+
+
+def test_best_places_are_those_of_whole_sorting():
+    """Many columns, ties once rounded, missing and not finite scores: few are sorted, with the places of sorting all."""
+    rng = np.random.default_rng(0)
+    scores = rng.normal(0, 0.2, (14, 5003)).clip(-1, 1)
+    scores[1], scores[2, ::7], scores[3, 2], scores[4] = 0.5, 1.0, -np.inf, -np.inf
+    scores[5], scores[6, 5001], scores[7, 9] = np.round(scores[5], 1), np.nan, np.nan
+    scores[8, [4000, 30, 77]] = 0.9, 0.9 + 2e-10, 0.9 - 2e-10  # equal once rounded
+    sorted_rows = []
+    whole, retrieval._sorted_top = retrieval._sorted_top, lambda x, k: sorted_rows.append(len(x)) or whole(x, k)
+    try:
+        places, values = retrieval._top(scores, 10)
+    finally:
+        retrieval._sorted_top = whole
+    rounded = np.round(scores, 9)
+    assert (places == whole(rounded, 10)).all()
+    assert np.array_equal(values, np.take_along_axis(rounded, places, axis=1), equal_nan=True)
+    assert places[8, :3].tolist() == [30, 77, 4000] and sum(sorted_rows) < 7
