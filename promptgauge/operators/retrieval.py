@@ -23,6 +23,8 @@ QUERY_BLOCK = 2_048
 CORPUS_BLOCK = 16_384
 SENT_BYTES = 32 << 20  # most bytes of vectors that are sent to every task
 AT_ONCE = 1 << 22  # similarities worked on at once
+WAITING = 4_096  # documents of a key that are waited for, so that lists of the best are seldom merged
+WAITING_BYTES = 32 << 20  # most bytes of waiting documents of all keys
 STRETCH = 64  # scores of a row of which the largest is looked at first
 CROWDED = 50  # times k candidates from which on a row is sorted as a whole
 
@@ -209,23 +211,37 @@ def _searched_in_place(left: DataFrame, right: DataFrame, k: int, n_keys: int, e
         return np.take_along_axis(scores, at, axis=1), np.take_along_axis(ids, at, axis=1)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides, best = _sides(sent.value, n_keys, False), {}
+        sides, best, held, waiting = _sides(sent.value, n_keys, False), {}, {}, 0
+
+        def meet(key: tuple) -> int:
+            """The waiting documents of a key meet its queries; gives back their bytes."""
+            parts = held.pop(key)
+            side, found = sides[key], _Side(pa.concat_arrays([ids for ids, _ in parts]), np.concatenate([matrix for _, matrix in parts]))
+            tops = []
+            step = max(1, AT_ONCE // len(found.ids))
+            for first in range(0, len(side.ids), step):
+                scores = side.units[first : first + step] @ found.units.T
+                if exclude_self:
+                    scores[side.ids[first : first + step, None] == found.ids[None, :]] = -np.inf
+                top, value = _top(scores, k)
+                tops.append((value, found.ids[top]))
+            now = tuple(np.concatenate(p) for p in zip(*tops, strict=True))
+            best[key] = merged(best[key], now) if key in best else now
+            return sum(ids.nbytes + matrix.nbytes for ids, matrix in parts)
+
         for batch in batches:
             for key, rows in _by_key(batch, n_keys).items():
-                side = sides.get(key)
-                if side is None:
+                if key not in sides:
                     continue
-                found = _Side(batch.column(n_keys).take(pa.array(rows)), _matrix(batch.column(n_keys + 1).take(pa.array(rows))))
-                parts = []
-                step = max(1, AT_ONCE // len(found.ids))
-                for first in range(0, len(side.ids), step):
-                    scores = side.units[first : first + step] @ found.units.T
-                    if exclude_self:
-                        scores[side.ids[first : first + step, None] == found.ids[None, :]] = -np.inf
-                    top, value = _top(scores, k)
-                    parts.append((value, found.ids[top]))
-                now = tuple(np.concatenate(p) for p in zip(*parts, strict=True))
-                best[key] = merged(best[key], now) if key in best else now
+                part = (batch.column(n_keys).take(pa.array(rows)), _matrix(batch.column(n_keys + 1).take(pa.array(rows))))
+                held.setdefault(key, []).append(part)
+                waiting += part[0].nbytes + part[1].nbytes
+                if sum(len(ids) for ids, _ in held[key]) >= WAITING:
+                    waiting -= meet(key)
+            if waiting > WAITING_BYTES:  # many keys: none waits longer
+                waiting -= sum(map(meet, list(held)))
+        for key in list(held):
+            meet(key)
         for key, (scores, ids) in best.items():
             query = np.repeat(np.arange(len(scores)), scores.shape[1])
             keep = np.isfinite(scores.ravel())

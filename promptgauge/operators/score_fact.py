@@ -34,6 +34,8 @@ def score_fact(encoded: DataFrame, kinds: DataFrame, clusterer: Clusterer, top:
     unknown = kinds.filter(~F.col("kind").isin(*KINDS)).select("kind").first()
     if unknown is not None:
         raise ValueError(f"no metric for tasks of kind {unknown[0]}")
+    # a written table has a known size: Spark sends a small one to the vectors, which then stay where they are
+    kinds = written(kinds, "kinds")
     # a baseline has no experiment id: runs are told apart by one name without nulls
     run = F.sha2(F.to_json(F.struct(*RUN)), 256)
     rows = written(encoded.join(kinds, "task").withColumn("run", run), "encoded")

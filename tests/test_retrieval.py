@@ -95,3 +95,18 @@ def test_best_places_are_those_of_whole_sorting():
     assert (places == whole(rounded, 10)).all()
     assert np.array_equal(values, np.take_along_axis(rounded, places, axis=1), equal_nan=True)
     assert places[8, :3].tolist() == [30, 77, 4000] and sum(sorted_rows) < 7
+
+
+@pytest.mark.parametrize(("waiting", "held"), [(3, 1 << 20), (10**6, 1), (10**6, 1 << 20)])
+def test_documents_wait_for_each_other(spark, monkeypatch, waiting, held):
+    """Whether few or many documents meet the queries at once, the best are the same, ties by id included."""
+    monkeypatch.setattr(retrieval, "WAITING", waiting)
+    monkeypatch.setattr(retrieval, "WAITING_BYTES", held)
+    rng = random.Random(4)
+    rows = [(f"r{i % 3}", i, [float(rng.randint(0, 2)), 1.0]) for i in range(60)]
+    corpus = spark.createDataFrame(rows, "run string, n long, vector array<double>").repartition(2)
+    queries = corpus.filter("n < 12").select("run", F.struct("n").alias("query_id"), "vector")
+    documents = corpus.select("run", F.struct("n").alias("doc_id"), "vector")
+    got = nearest(queries, documents, 4, ["run"], sent_bytes=1_500).select("run", "query_id.n", "rank", F.col("doc_id.n").alias("found"))
+    want = nearest(queries, documents, 4, ["run"]).select("run", "query_id.n", "rank", F.col("doc_id.n").alias("found"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 48
