@@ -1,26 +1,30 @@
 """Exact cosine top k, keyed, by whichever side is small.
 
 Few queries are sent to the corpus where it lies: every task keeps the best k documents of each query so far and hands
-on k rows per query. A small corpus is sent to the queries, which are then answered where they lie. Only when
-both sides are large are they cut into blocks that meet pairwise. All three ways give the same rows. What is sent is
-counted first, in bytes.
+on k rows per query. A small corpus is sent to the queries, which are then answered where they lie. When both
+sides are large, the queries are sent part by part. All three ways give the same rows. What is sent is
+counted first, in bytes. No vector is shuffled.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator, Sequence
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F, Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, IntegerType, IntegralType, StructField, StructType
 
+from promptgauge.session import written
+
 DIGITS = 9  # similarities are rounded before they are ranked; ties go by id
-QUERY_BLOCK = 2_048
-CORPUS_BLOCK = 16_384
+QUERY_BLOCK = 2_048  # fewest queries that are sent at a time where there are too many to send at once
+CORPUS_BLOCK = 16_384  # fewest documents of a task that searches for such a part, as far as tasks are to be had
 SENT_BYTES = 32 << 20  # most bytes of vectors that are sent to every task
 AT_ONCE = 1 << 22  # similarities worked on at once
 WAITING = 4_096  # documents of a key that are waited for, so that lists of the best are seldom merged
@@ -123,8 +127,16 @@ def _sides(table: pa.Table, n_keys: int, ordered: bool) -> dict[tuple, _Side]:
     return {key: _Side(ids.take(pa.array(rows)), _matrix(vectors.take(pa.array(rows))), ordered) for key, rows in _by_key(table, n_keys).items()}
 
 
-def _bytes(side: DataFrame) -> int:
-    return side.agg(F.coalesce(F.sum(8 * F.size("vector") + 64), F.lit(0))).first()[0]
+def _bytes(side: DataFrame) -> tuple[int, int]:
+    """Bytes and rows."""
+    return tuple(side.agg(F.coalesce(F.sum(8 * F.size("vector") + 64), F.lit(0)), F.count("*")).first())
+
+
+def _again(side: DataFrame, label: str) -> DataFrame:
+    """Something that can be read again and again: a plain scan as it is, else a written table."""
+    plan = side._jdf.queryExecution().optimizedPlan().toString()
+    plain = not re.search("Python|Pandas|Arrow|UDF|Join|Aggregate|Sort|Window|Generate|Repartition|RDD", plan, re.I)
+    return side if plain else written(side, label)
 
 
 def _plain(side: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
@@ -145,14 +157,27 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, keys: Sequence[str] =
         [StructField(f"k{i}", left.schema[f"k{i}"].dataType) for i in range(len(keys))]
         + [StructField("query_id", left.schema["id"].dataType), StructField("doc_id", right.schema["id"].dataType), StructField("similarity", DoubleType())]
     )
-    if _bytes(right) <= sent_bytes:
+    (right_bytes, n_right), (left_bytes, n_left) = _bytes(right), _bytes(left)
+    if right_bytes <= sent_bytes:
         return _answered_in_place(left, right, k, len(keys), exclude_self, schema).toDF(*names)
-    if _bytes(left) <= sent_bytes:
-        found = _searched_in_place(left, right, k, len(keys), exclude_self, schema)
-    else:
-        found = _by_block_pairs(left, right, k, len(keys), exclude_self, schema)
     order = W.partitionBy(*[f"k{i}" for i in range(len(keys))], "query_id").orderBy(F.desc("similarity"), "doc_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).toDF(*names)
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    if left_bytes <= sent_bytes:
+        return ranked(_searched_in_place(left, right, k, len(keys), exclude_self, schema)[0]).toDF(*names)
+    # each part is answered and written before the next is sent, so what is sent and shuffled is that of one part
+    n_parts = max(1, min(math.ceil(left_bytes / max(1, sent_bytes)), math.ceil(n_left / QUERY_BLOCK)))
+    n_tasks = max(1, min(left.sparkSession.sparkContext.defaultParallelism, math.ceil(n_right / CORPUS_BLOCK)))
+    left, right = _again(left, "queries"), _again(right, "corpus").coalesce(n_tasks)
+    part = F.pmod(F.xxhash64(*[f"k{i}" for i in range(len(keys))], "id"), F.lit(n_parts))
+    answered = []
+    for i in range(n_parts):
+        found, sent = _searched_in_place(left.filter(part == i), right, k, len(keys), exclude_self, schema)
+        answered.append(written(ranked(found), "nearest"))
+        sent.destroy()
+    return reduce(DataFrame.unionByName, answered).toDF(*names)
 
 
 def _rows(schema: StructType, key: tuple, queries: pa.Array, documents: pa.Array, similarity: np.ndarray) -> pa.RecordBatch:
@@ -161,6 +186,13 @@ def _rows(schema: StructType, key: tuple, queries: pa.Array, documents: pa.Array
     return pa.RecordBatch.from_arrays([*held, queries.cast(kinds.field("query_id").type), documents.cast(kinds.field("doc_id").type), pa.array(similarity)], schema=kinds)
 
 
+def _forget_own(scores: np.ndarray, own: np.ndarray, ids: np.ndarray) -> None:
+    """No query is answered by its own id; ``ids`` are in order."""
+    low, high = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
+    for i in np.flatnonzero(high > low).tolist():
+        scores[i, low[i] : high[i]] = -np.inf
+
+
 def _answers(batch: pa.RecordBatch, sides: dict[tuple, _Side], k: int, n_keys: int, exclude_self: bool, schema: StructType) -> Iterator[pa.RecordBatch]:
     """The best ``k`` of each query in the table that ``sides`` are shares of, with their ranks in it."""
     for key, rows in _by_key(batch, n_keys).items():
@@ -173,9 +205,7 @@ def _answers(batch: pa.RecordBatch, sides: dict[tuple, _Side], k: int, n_keys: i
             ids = batch.column(n_keys).take(part)
             scores = unit(_matrix(batch.column(n_keys + 1).take(part))) @ side.units.T
             if exclude_self:
-                own = _numbers(ids)  # the ids of the side are in order
-                for i, (low, high) in enumerate(zip(np.searchsorted(side.ids, own, "left"), np.searchsorted(side.ids, own, "right"))):
-                    scores[i, low:high] = -np.inf
+                _forget_own(scores, _numbers(ids), side.ids)
             top, value = _top(scores, k)
             value = value.ravel()
             keep = np.isfinite(value)
@@ -197,7 +227,8 @@ def _answered_in_place(left: DataFrame, right: DataFrame, k: int, n_keys: int, e
     return left.mapInArrow(answer, StructType([*schema.fields, StructField("rank", IntegerType())]))
 
 
-def _searched_in_place(left: DataFrame, right: DataFrame, k: int, n_keys: int, exclude_self: bool, schema: StructType) -> DataFrame:
+def _searched_in_place(left: DataFrame, right: DataFrame, k: int, n_keys: int, exclude_self: bool, schema: StructType) -> tuple[DataFrame, Broadcast]:
+    """The best of each task's documents for each query, and what was sent for it."""
     sent = left.sparkSession.sparkContext.broadcast(left.toArrow())  # bounded: counted by the caller
     numeric = isinstance(schema["doc_id"].dataType, IntegralType)
 
@@ -222,7 +253,7 @@ def _searched_in_place(left: DataFrame, right: DataFrame, k: int, n_keys: int, e
             for first in range(0, len(side.ids), step):
                 scores = side.units[first : first + step] @ found.units.T
                 if exclude_self:
-                    scores[side.ids[first : first + step, None] == found.ids[None, :]] = -np.inf
+                    _forget_own(scores, side.ids[first : first + step], found.ids)
                 top, value = _top(scores, k)
                 tops.append((value, found.ids[top]))
             now = tuple(np.concatenate(p) for p in zip(*tops, strict=True))
@@ -248,26 +279,4 @@ def _searched_in_place(left: DataFrame, right: DataFrame, k: int, n_keys: int, e
             documents = pa.array(ids.ravel()[keep].tolist(), to_arrow_schema(schema).field("doc_id").type)
             yield _rows(schema, key, sides[key].arrow.take(pa.array(query[keep])), documents, scores.ravel()[keep])
 
-    return right.mapInArrow(search, schema)
-
-
-def _by_block_pairs(left: DataFrame, right: DataFrame, k: int, n_keys: int, exclude_self: bool, schema: StructType) -> DataFrame:
-    """Both sides are cut into blocks by hash. A pair of blocks is one matrix product and sends on at most ``k`` rows per query."""
-    n_queries, n_corpus = (max(1, math.ceil(side.count() / block)) for side, block in ((left, QUERY_BLOCK), (right, CORPUS_BLOCK)))
-    keys = [f"k{i}" for i in range(n_keys)]
-
-    def dealt(side: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        block = F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int")
-        return side.dropna(subset=keys).withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
-
-    def meet(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        batches = []
-        if mine.num_rows and theirs.num_rows:
-            sides = _sides(theirs.select([*keys, "id", "vector"]), n_keys, True)
-            mine = mine.select([*keys, "id", "vector"]).combine_chunks()
-            batches = [found for batch in mine.to_batches() for found in _answers(batch, sides, k, n_keys, exclude_self, schema)]
-        return pa.Table.from_batches([b.select(schema.names) for b in batches], to_arrow_schema(schema))
-
-    by = [*keys, "i", "j"]
-    a, b = dealt(left, "i", n_queries, "j", n_corpus), dealt(right, "j", n_corpus, "i", n_queries)
-    return a.groupBy(*by).cogroup(b.groupBy(*by)).applyInArrow(meet, schema)
+    return right.mapInArrow(search, schema), sent

@@ -110,3 +110,27 @@ def test_documents_wait_for_each_other(spark, monkeypatch, waiting, held):
     got = nearest(queries, documents, 4, ["run"], sent_bytes=1_500).select("run", "query_id.n", "rank", F.col("doc_id.n").alias("found"))
     want = nearest(queries, documents, 4, ["run"]).select("run", "query_id.n", "rank", F.col("doc_id.n").alias("found"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 48
+
+
+def test_two_large_sides_shuffle_no_vectors(spark, sf, monkeypatch):
+    """Queries are sent part by part; what is shuffled and written is a few best of each query."""
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 100)
+    monkeypatch.setattr(retrieval, "CORPUS_BLOCK", 100)
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    queries = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    corpus = v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    searched, sizes, plans = retrieval._searched_in_place, [], []
+
+    def seen(left, right, *more):
+        sizes.append(left.count())
+        found, sent = searched(left, right, *more)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found, sent
+
+    monkeypatch.setattr(retrieval, "_searched_in_place", seen)
+    sent_bytes = 100_000
+    got = nearest(queries, corpus, 3, exclude_self=True, sent_bytes=sent_bytes)
+    assert len(sizes) > 1 and sum(sizes) == v.count()
+    assert all("Exchange" not in p and "Scan parquet" in p for p in plans)
+    want = nearest(queries, corpus, 3, exclude_self=True)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
